@@ -1 +1,10 @@
-"""Training-data pipeline operators. Nothing outside this subpackage imports it."""
+"""Training-data pipeline operators. Nothing outside this subpackage imports it.
+
+Functions that run in Python workers are sent by value, so executors need not have this package installed.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

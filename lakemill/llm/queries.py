@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, quality_rules, token_counts, url_filter
+from . import minhash, packing, quality_rules, suffix_dedup, token_counts, url_filter
 from .common import table
 
 
@@ -21,6 +21,10 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"))
+
+
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The list: URLs of pages whose title is symbol junk; other spellings of such a URL are caught by its canonical form."""
     pages = table(spark, sf_dir, "pages")
@@ -32,6 +36,10 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packing(table(spark, sf_dir, "documents"), tokenizer())
 
 
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer())
 
@@ -39,8 +47,10 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1,
+        "op4_suffix_dedup": op4,
         "op5_url_filter": op5,
         "op7_packing": op7,
+        "op8_minhash_dedup": op8,
         "op10_token_counts": op10,
     }
 

@@ -14,6 +14,8 @@ import os
 
 #: Cached words per Python worker (about 250 bytes each); the cache starts anew when it is full.
 CACHED_WORDS = 600_000
+#: Words encoded in one call.
+JOINED = 256
 TRAILING = b"!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
 ALNUM = frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789")
 
@@ -56,6 +58,12 @@ class Encoder:
             model.no_truncation()
             model.no_padding()
             self.batch = lambda texts: [e.ids for e in model.encode_batch_fast(texts, add_special_tokens=False)]
+            if self.words:
+                import numpy as np
+
+                vocabulary = model.get_vocab()
+                self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+                self.ends[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
 
     def packed(self, texts: list[str]) -> list[bytes]:
         import numpy as np
@@ -86,7 +94,10 @@ class Encoder:
             cut = len(body) if body and len(body) < len(w) and b"<|" not in w and (body[-1] in ALNUM or letter(body)) else len(w)
             cuts.append((w, w[:cut], w[cut:]))
             new.update(p for p in (w[:cut], w[cut:]) if p and p not in self.cache)
-        new = list(new)
+        plain = [p for p in new if p.isalpha()]  # ASCII letters only
+        for at in range(0, len(plain), JOINED):
+            self.learn_joined(plain[at : at + JOINED])
+        new = [p for p in new if p not in self.cache]
         for p, ids in zip(new, self.packed([p.decode("utf-8", "surrogatepass") for p in new]), strict=True):
             self.cache[p] = ids
         for w, body, tail in cuts:
@@ -94,6 +105,19 @@ class Encoder:
                 self.cache[w] = self.cache[body] + self.cache[tail]
 
 
+    def learn_joined(self, words: list[bytes]) -> None:
+        """A run of letters is one pre-token and its last id ends a word, so many words fit in one call."""
+        import numpy as np
+
+        ids = np.asarray(self.batch([b" ".join(words).decode()])[0], dtype="<u4")
+        cuts = np.flatnonzero(self.ends[ids]) + 1
+        if len(cuts) == len(words) and cuts[-1] == len(ids):
+            raw, at = ids.tobytes(), 0
+            for w, end in zip(words, cuts.tolist(), strict=True):
+                self.cache[w] = raw[4 * at : 4 * end]
+                at = end
+
+
 def letter(body: bytes) -> bool:
     """Ends in a two-byte Latin-1 letter."""
     return len(body) >= 2 and body[-2] == 0xC3 and 0x80 <= body[-1] <= 0xBF and body[-1] not in (0x97, 0xB7)
