@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import minhash, packing, quality_rules, suffix_dedup, token_counts, url_filter
+from . import language_id, minhash, mixing, packing, quality_classifier, quality_rules, suffix_dedup, token_counts, url_filter
 from .common import table
 
 
@@ -21,6 +21,10 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.quality_classifier(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"))
 
@@ -32,6 +36,10 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_filter(pages, pages.where(title.rlike(r"\*\*\*|%%%|###")).select("url"))
 
 
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.language_id(table(spark, sf_dir, "documents"))
+
+
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packing(table(spark, sf_dir, "documents"), tokenizer())
 
@@ -40,6 +48,10 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixing(table(spark, sf_dir, "documents"))
+
+
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer())
 
@@ -47,10 +59,13 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1,
+        "op2_quality_classifier": op2,
         "op4_suffix_dedup": op4,
         "op5_url_filter": op5,
+        "op6_language_id": op6,
         "op7_packing": op7,
         "op8_minhash_dedup": op8,
+        "op9_mixing": op9,
         "op10_token_counts": op10,
     }
 
