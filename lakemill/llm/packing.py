@@ -25,7 +25,7 @@ from .tokens import Encoder
 SIZE = 2048
 END_ID = 1
 #: Pieces per block of ranks.
-BLOCK = 20_000
+BLOCK = 2_048
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
