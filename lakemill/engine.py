@@ -28,6 +28,10 @@ SETTINGS = {
 INHERITED = ("spark.sql.shuffle.partitions", "spark.sql.autoBroadcastJoinThreshold", "spark.sql.files.maxPartitionBytes", "spark.sql.adaptive.advisoryPartitionSizeInBytes")
 
 
+#: Rules that a query is right without.
+OPTIONAL = ("PushDownPredicates", "PushPredicateThroughJoin", "ColumnPruning", "ReorderJoin", "CostBasedJoinReorder", "ConstantFolding", "BooleanSimplification", "EliminateOuterJoin", "LimitPushDown", "CombineFilters")
+
+
 def kind_of(t: S.DataType) -> str | None:
     """Type of a loaded column; None where it isn't supported."""
     if isinstance(t, S.IntegralType):
@@ -148,6 +152,13 @@ class Engine:
         df = self.sql(query)
         return df.sparkSession._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), mode)
 
+    def strategy(self, hash_join: bool = True, optimize: bool = True) -> None:
+        """Hash joins or sort-merge joins only; Catalyst's optional rewrites or none of them. Results are the same."""
+        self.spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10485760" if hash_join else "-1")
+        self.spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "10485760" if hash_join else "-1")
+        self.spark.conf.set("spark.sql.join.preferSortMergeJoin", "false" if hash_join else "true")
+        self.spark.conf.set("spark.sql.optimizer.excludedRules", "" if optimize else ",".join(f"org.apache.spark.sql.catalyst.optimizer.{r}" for r in OPTIONAL))
+
     def analyze(self) -> None:
         """Turn on cost-based join order for tables whose statistics Spark knows."""
         self.spark.conf.set("spark.sql.cbo.enabled", "true")

@@ -185,7 +185,7 @@ NARROW = {
     "arithmetic": "l_linenumber", "interval_pairs": "n_nationkey", "theta_join": "a b", "null_keys_never_match": "a b", "in_select_list": "n_nationkey",
     "group_by_null": "k", "sum_avg_distinct": "lo", "order_nulls": "n_nationkey", "order_nulls_first": "n_nationkey",
     "order_position": "c_nationkey", "order_by_aggregate": "c_nationkey", "offset_alone": "n_nationkey", "distinct_nulls": "k",
-    "three_valued_logic": "n_nationkey", "text_join": "quality",
+    "three_valued_logic": "n_nationkey", "text_join": "quality", "min_max_text_date": "n_regionkey",
 }
 
 _engines: dict[tuple[int, str], Engine] = {}
