@@ -4,9 +4,10 @@ Coordinate k of a signature is the minimum over a document's shingles x of pi((s
 sigma applied once, and one permutation pi that is only shifted. 48 bands of 5 coordinates miss a pair at 0.75 with a
 probability of about two in a million. Texts with equal shingle sets form one class first, so copies never make pairs.
 
-Pairs are checked in three rounds on whole shingle sets: each class against the bucket minimum that it meets most often;
-then against its other bucket minima; then, in buckets that still hold several components, all pairs across components.
-A pair within one component can't change the result, so leaving it out loses no link.
+Pairs are checked in rounds on whole shingle sets: each class against the bucket minimum that it meets most often; against
+its other bucket minima; in buckets that still hold several components, against the set with the fewest shingles of its
+own; last, what is outside a bucket's largest component against all of the bucket. A pair within one component can't
+change the result, and a pair whose lone shingles already rule out the threshold is no link, so no link is lost.
 
 Edge cases: null, empty or blank text has no shingles and stays alone; under five words the whole sequence is one
 shingle; rows that share a doc_id are one document; a null doc_id never represents a component that has an id.
@@ -17,7 +18,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
@@ -183,14 +184,38 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     links = written(links.unionByName(verified(rest, sets, percent)), "linked")
     found = written(components(links), "components")
 
-    placed = shared.join(of("node"), "node", "left").select("bucket", "center", "node", "n", own("node").alias("c"))
-    mixed = placed.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("bucket")
-    open_ = written(placed.join(mixed, "bucket", "left_semi").where("node <> center"), "open_buckets")
-    x, y = open_.alias("x"), open_.alias("y")
-    near = (F.col("x.node") < F.col("y.node")) & (F.col("x.c") != F.col("y.c")) & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"))
-    pairs = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & near).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    last = verified(pairs, sets, percent)
-    links = written(links.unionByName(last), "linked")
+    def still_open(entries: DataFrame) -> DataFrame:
+        """The entries, with their component c, of buckets that hold more than one."""
+        placed = entries.drop("c").join(of("node"), "node", "left").withColumn("c", own("node")).drop("node_component")
+        mixed = placed.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("bucket")
+        return placed.join(mixed, "bucket", "left_semi")
+
+    # Shingles that no other open set has bound what a set can share; many sets can then have no partner at all.
+    entries = written(still_open(shared.select("bucket", "node", "n")), "open_buckets")
+    body = sets.join(entries.select("node").distinct(), "node", "left_semi").select("node", F.explode("shingles").alias("shingle"))
+    lone = body.groupBy("shingle").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("k")).where("k = 1").groupBy("node").agg(F.count(F.lit(1)).alias("lone"))
+    entries = entries.join(lone, "node", "left").withColumn("common", F.col("n") - F.coalesce("lone", F.lit(0))).drop("lone")
+    entries = written(entries.where(100 * F.col("common") >= percent * F.col("n")), "open_buckets")
+
+    def possible(x: str, y: str) -> Column:
+        most = F.least(f"{x}.common", f"{y}.common")
+        return (F.col(f"{x}.bucket") == F.col(f"{y}.bucket")) & (F.col(f"{x}.c") != F.col(f"{y}.c")) & (100 * most >= percent * (F.col(f"{x}.n") + F.col(f"{y}.n") - most))
+
+    def ordered(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+
+    # The set of a bucket with the fewest lone shingles is nearest to what the bucket's sets have in common.
+    middle = entries.groupBy("bucket").agg(F.max_by(F.struct("node", "n", "c", "common"), F.struct(F.col("common") / F.col("n"), -F.col("node"))).alias("m")).select("bucket", "m.*")
+    pairs = ordered(entries.alias("x").join(middle.alias("y"), possible("x", "y")))
+    links = written(links.unionByName(verified(pairs, sets, percent)), "linked")
+    found = written(components(links), "components")
+
+    # What is left of a bucket beside its largest component is compared with all of the bucket.
+    entries = written(still_open(entries), "open_buckets")
+    largest = entries.groupBy("bucket", "c").agg(F.count(F.lit(1)).alias("k")).groupBy("bucket").agg(F.max_by("c", F.struct("k", "c")).alias("most"))
+    rest = entries.join(largest, "bucket").where("c <> most").drop("most")
+    pairs = ordered(rest.alias("x").join(entries.alias("y"), possible("x", "y")))
+    links = written(links.unionByName(verified(pairs, sets, percent)), "linked")
     found = written(components(links), "components")
 
     mine = nodes.select("set_key", "node").join(found, "node", "left").select("set_key", F.coalesce("component", "node").alias("component"))
