@@ -1,0 +1,134 @@
+"""Every registered query of the engine against DuckDB, plans, and random queries."""
+
+import random
+
+import duckdb
+import pytest
+
+import __spark_entry__ as entry
+from lakemill.engine import Engine
+from lakemill.operators import queries as Q
+
+from .conftest import SF
+
+
+@pytest.fixture(scope="module")
+def duck():
+    c = duckdb.connect()
+    for t in Q.TABLES:
+        c.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    return c
+
+
+def plain(rows):
+    return sorted(tuple("NULL" if v is None else f"{v:.9g}" if isinstance(v, float) else str(v) for v in r) for r in rows)
+
+
+@pytest.mark.parametrize("name", Q.QUERIES)
+def test_query(spark, duck, name):
+    df = Q.queries()[name](spark, SF)
+    want = duck.sql(Q.oracle_sql()[name])
+    order = sorted(range(len(df.columns)), key=df.columns.__getitem__)
+    other = sorted(range(len(want.columns)), key=want.columns.__getitem__)
+    assert sorted(df.columns) == sorted(want.columns)
+    assert plain([[r[i] for i in order] for r in df.collect()]) == plain([[r[i] for i in other] for r in want.fetchall()])
+
+
+def test_entry(spark):
+    assert entry.entry(spark).columns == ["l_orderkey", "revenue", "o_orderdate", "o_orderpriority"]
+    assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def plan(spark, text):
+    return Q.engine(spark, SF).explain(text)
+
+
+def test_plans(spark):
+    p = plan(spark, "select l_orderkey from lineitem where l_shipdate < date '1997-01-01' and l_quantity > 10 and l_linenumber = 2")
+    assert "ReadSchema: struct<l_orderkey:bigint,l_linenumber:int,l_quantity:double,l_shipdate:timestamp_ntz>" in p
+    assert "GreaterThan(l_quantity,10.0)" in p and "EqualTo(l_linenumber,2)" in p and "LessThan(l_shipdate," in p
+    assert "LeftSemi" in plan(spark, Q.QUERIES["semi_exists"][0])
+    assert "LeftAnti" in plan(spark, Q.QUERIES["anti_not_exists"][0])
+    assert "TakeOrderedAndProject" in plan(spark, Q.QUERIES["tpch_q3"][0])
+    assert "CartesianProduct" not in plan(spark, Q.QUERIES["tpch_q8"][0])
+
+
+class Random:
+    """Type-correct random queries, as (text here, text for DuckDB)."""
+
+    COLUMNS = {"k": "int", "a": "int", "b": "double", "s": "text", "d": "date"}
+
+    def __init__(self, seed):
+        self.r = random.Random(seed)
+
+    def value(self, kind, tables, depth=2):
+        r = self.r
+        if depth == 0 or r.random() < 0.4:
+            if r.random() < 0.7:
+                c = r.choice([c for c, k in self.COLUMNS.items() if k == kind])
+                x = f"{r.choice(tables)}.{c}"
+                return x, x
+            x = {"int": str(r.randint(-3, 5)), "double": str(r.randint(-6, 6) / 2), "text": repr(r.choice(["a", "ab", "B", ""])), "date": f"date '2024-01-0{r.randint(1, 6)}'"}[kind]
+            return x, x + "::double" if kind == "double" else x + "::bigint" if kind == "int" else x
+        v = lambda k: self.value(k, tables, depth - 1)
+        if r.random() < 0.25:
+            (c, c2), (x, x2), (y, y2) = self.test(tables, depth - 1), v(kind), v(kind)
+            return f"case when {c} then {x} else {y} end", f"case when {c2} then {x2} else {y2} end"
+        (x, x2), (y, y2) = v(kind), v(kind)
+        if kind == "text":
+            form = r.choice(["({0} || {1})", "upper({0})", "coalesce({0}, {1})"])
+        elif kind == "date":
+            n, n2 = v("int")
+            return f"({x} + {n})", f"({x2} + cast({n2} as integer))"
+        else:
+            form = r.choice(["({0} + {1})", "({0} - {1})", "({0} * {1})", "coalesce({0}, {1})", "abs({0})"])
+        return form.format(x, y), form.format(x2, y2)
+
+    def test(self, tables, depth=2):
+        r = self.r
+        kind = r.choice(["int", "double", "text", "date"])
+        (x, x2), (y, y2) = (self.value(kind, tables, depth - 1 if depth else 0) for _ in range(2))
+        if depth and r.random() < 0.3:
+            (p, p2), (q, q2) = self.test(tables, depth - 1), self.test(tables, depth - 1)
+            form = r.choice(["({0} and {1})", "({0} or {1})", "(not {0})"])
+            return form.format(p, q), form.format(p2, q2)
+        form = r.choice(["{0} = {1}", "{0} < {1}", "{0} >= {1}", "{0} <> {1}", "{0} is null", "{0} in ({1}, {0})", "{0} between {1} and {0}"])
+        return "(" + form.format(x, y) + ")", "(" + form.format(x2, y2) + ")"
+
+    def query(self):
+        r, tables = self.r, ["t0", "t1"]
+        kind = r.choice(["join", "left join", "full join", "comma", "exists", "not in", "group"])
+        (w, w2), (on, on2) = self.test(tables), self.test(tables, 1)
+        vals = [self.value(k, tables) for k in ("int", "text", "double")]
+        cols, cols2 = (", ".join(f"{x[i]} as c{n}" for n, x in enumerate(vals)) for i in (0, 1))
+        if kind == "comma":
+            return f"select {cols} from t0, t1 where {w}", f"select {cols2} from t0, t1 where {w2}"
+        if kind == "exists":
+            return tuple(f"select t1.k, t1.s from t1 where {r2} (select 1 from t0 where t0.k = t1.k and {x})" for x, r2 in ((w, "exists"), (w2, "exists")))
+        if kind == "not in":
+            (x, x2) = self.value("int", ["t0"])
+            return f"select t1.k from t1 where t1.a not in (select {x} from t0 where t0.k is not null)", f"select t1.k from t1 where t1.a not in (select {x2} from t0 where t0.k is not null)"
+        if kind == "group":
+            (v, v2) = self.value("int", tables)
+            text = "select t0.s, count(*) as n, {0} as total, max({1}) as m, count(distinct t1.k) as d from t0 left join t1 on t0.k = t1.k group by t0.s"
+            return text.format(f"sum({v})", v), text.format(f"cast(sum({v2}) as bigint)", v2)
+        on_key, on_key2 = f"t0.k = t1.k and {on}", f"t0.k = t1.k and {on2}"
+        if kind == "full join":
+            on_key = on_key2 = "t0.k = t1.k"
+        return f"select {cols} from t0 {kind} t1 on {on_key}", f"select {cols2} from t0 {kind} t1 on {on_key2}"
+
+
+def test_random_queries_agree(spark):
+    import datetime
+
+    r = random.Random(7)
+    engine, c = Engine(spark), duckdb.connect()
+    maybe = lambda v: None if r.random() < 0.2 else v
+    for t in ("t0", "t1"):
+        rows = [(maybe(r.randint(0, 3)), maybe(r.randint(-3, 5)), maybe(r.randint(-6, 6) / 2), maybe(r.choice(["a", "b", "ab", "ba", "abc", "B", ""])), maybe(datetime.date(2024, 1, r.randint(1, 6)))) for _ in range(10)]
+        engine.register(t, engine.spark.createDataFrame(rows, "k long, a long, b double, s string, d date").coalesce(1).cache())
+        c.execute(f"create table {t} (k bigint, a bigint, b double, s varchar, d date)")
+        c.executemany(f"insert into {t} values (?, ?, ?, ?, ?)", rows)
+    for seed in range(80):
+        ours, theirs = Random(seed).query()
+        assert plain(engine.rows(ours)) == plain(c.sql(theirs).fetchall()), ours

@@ -1,0 +1,174 @@
+"""The wire protocol by a raw client, and the shell."""
+
+import socket
+import struct
+import threading
+
+import pytest
+
+from lakemill.engine import Engine
+from lakemill.repl import Shell
+from lakemill.server import Server
+
+
+@pytest.fixture(scope="module")
+def address(spark):
+    engine = Engine(spark)
+    engine.demo()
+    engine.register("people", engine.spark.createDataFrame([(1, "ada", 9.5), (2, "grace", None), (3, "linus", 7.0)], "id long, name string, score double"))
+    with Server(engine, 0) as server:
+        threading.Thread(target=server.serve_forever, daemon=True).start()
+        yield server.server_address
+        server.shutdown()
+
+
+class Client:
+    def __init__(self, address):
+        self.s = socket.create_connection(address, timeout=120)
+        self.s.sendall(struct.pack("!ii", 8, 80877103))
+        assert self.s.recv(1) == b"N"
+        body = struct.pack("!i", 196608) + b"user\0x\0\0"
+        self.s.sendall(struct.pack("!i", len(body) + 4) + body)
+        self.kinds(self.until())
+
+    def exact(self, n):
+        out = b""
+        while len(out) < n:
+            part = self.s.recv(n - len(out))
+            assert part, "closed"
+            out += part
+        return out
+
+    def until(self, end=b"Z"):
+        out = []
+        while not out or out[-1][0] != end:
+            kind = self.exact(1)
+            out.append((kind, self.exact(struct.unpack("!i", self.exact(4))[0] - 4)))
+        return out
+
+    def kinds(self, messages):
+        return b"".join(k for k, _ in messages).decode()
+
+    def send(self, kind, body=b""):
+        self.s.sendall(kind + struct.pack("!i", len(body) + 4) + body)
+
+    def query(self, sql):
+        self.send(b"Q", sql.encode() + b"\0")
+        return self.until()
+
+    def parse(self, sql, name="", oids=()):
+        self.send(b"P", name.encode() + b"\0" + sql.encode() + b"\0" + struct.pack(f"!h{len(oids)}i", len(oids), *oids))
+
+    def bind(self, values, name="", portal="", formats=()):
+        body = portal.encode() + b"\0" + name.encode() + b"\0" + struct.pack(f"!h{len(formats)}h", len(formats), *formats) + struct.pack("!h", len(values))
+        for v in values:
+            body += struct.pack("!i", -1) if v is None else struct.pack("!i", len(v)) + v
+        self.send(b"B", body + struct.pack("!h", 0))
+
+    def execute(self, most=0, portal=""):
+        self.send(b"E", portal.encode() + b"\0" + struct.pack("!i", most))
+
+
+def values(body):
+    n, at, out = struct.unpack("!h", body[:2])[0], 2, []
+    for _ in range(n):
+        size = struct.unpack("!i", body[at : at + 4])[0]
+        out.append(None if size < 0 else body[at + 4 : at + 4 + size].decode())
+        at += 4 + max(size, 0)
+    return out
+
+
+def rows(messages):
+    return [values(b) for k, b in messages if k == b"D"]
+
+
+def state(messages):
+    body = next(b for k, b in messages if k == b"E")
+    return next(f[1:] for f in body.split(b"\0") if f[:1] == b"C").decode()
+
+
+def test_simple_query(address):
+    c = Client(address)
+    got = c.query("select id, name, score, id > 1 as late, date '2024-01-02' as d from people order by id; select 1")
+    assert c.kinds(got) == "TDDDCTDCZ"
+    assert rows(got)[:3] == [["1", "ada", "9.5", "f", "2024-01-02"], ["2", "grace", None, "t", "2024-01-02"], ["3", "linus", "7", "t", "2024-01-02"]]
+    assert c.kinds(c.query(" ; ")) == "IZ"
+
+
+@pytest.mark.parametrize(("sql", "code"), [("select frm frm people", "42601"), ("select * from nope", "42P01"), ("select nope from people", "42703"), ("select foo(1)", "42883"), ("select name, count(*) from people", "42803"), ("select 1 / 0", "22012"), ("select 9223372036854775807 + id from people", "22003"), ("select cast('x' as integer)", "22P02")])
+def test_errors(address, sql, code):
+    c = Client(address)
+    got = c.query(sql)
+    assert c.kinds(got) == "EZ" and state(got) == code
+    assert rows(c.query("select 1")) == [["1"]]
+
+
+def test_earlier_results_come_before_an_error(address):
+    got = Client(address).query("select 1; select nope; select 2")
+    assert "".join(k.decode() for k, _ in got) == "TDCEZ"
+    assert b"P18\0" in next(b for k, b in got if k == b"E")
+
+
+def test_transactions(address):
+    c = Client(address)
+    last = lambda sql: c.query(sql)[-1][1]
+    assert [last("begin"), last("select 1"), last("select nope")] == [b"T", b"T", b"E"]
+    assert state(c.query("select 1")) == "25P02"
+    assert last("rollback") == b"I" and last("set x = 1") == b"I"
+
+
+def test_extended_query_in_batches(address):
+    c = Client(address)
+    c.parse("select name from people where id >= $1 order by id", "q", [20])
+    c.send(b"D", b"Sq\0")
+    c.bind([b"1"], "q")
+    c.send(b"D", b"P\0")
+    for _ in range(2):
+        c.execute(2)
+    c.send(b"S")
+    got = c.until()
+    assert c.kinds(got) == "1tT2TDDsDCZ" and rows(got) == [["ada"], ["grace"], ["linus"]]
+
+
+def test_parameters(address):
+    c = Client(address)
+    c.parse("select $1 + 1, $2 || '!', $3, $4 - 1, '$1'", "", [20, 25, 25, 1082])
+    c.bind([struct.pack("!q", -5), b"it's", None, b"2024-03-01"], formats=[1, 0, 0, 0])
+    c.execute()
+    c.send(b"S")
+    assert rows(c.until()) == [["-4", "it's!", None, "2024-02-29", "$1"]]
+
+
+@pytest.mark.parametrize(("step", "code"), [(lambda c: c.bind([], "nope"), "26000"), (lambda c: c.execute(portal="nope"), "34000"), (lambda c: c.parse("select 1; select 2"), "42601"), (lambda c: (c.parse("select $1"), c.bind([])), "08P01")])
+def test_extended_errors_skip_to_sync(address, step, code):
+    c = Client(address)
+    step(c)
+    c.execute()
+    c.send(b"S")
+    got = c.until()
+    assert state(got) == code and c.kinds(got).endswith("EZ")
+
+
+def test_concurrent_clients(address):
+    found, many = [], [threading.Thread(target=lambda i=i: found.append(rows(Client(address).query(f"select count(*) from emp where id > {i}")))) for i in range(6)]
+    for t in many:
+        t.start()
+    for t in many:
+        t.join()
+    assert sorted(found) == [[[str(n)]] for n in range(2, 8)]
+
+
+def test_shell(spark, tmp_path):
+    shell = Shell(Engine(spark))
+    assert shell.execute("\\demo") == "loaded emp, dept"
+    assert shell.execute("select id, name from dept where id < 3 order by id;") == " id |     name\n----+-------------\n  1 | Engineering\n  2 | Sales\n(2 rows)"
+    assert shell.execute("select nope\nfrom dept") == 'ERROR: column "nope" does not exist\nselect nope\n       ^'
+    assert shell.execute("\\ast select a  from b") == "SELECT a FROM b"
+    assert "t1.`id`" in shell.execute("\\plan select id from dept")
+    assert "Physical Plan" in shell.execute("\\explain select id from dept")
+    assert shell.execute("\\timing") == "timing is on" and shell.execute("\\hashjoin") == "hashjoin is off"
+    assert "Time:" in shell.execute("select 1")
+    assert shell.execute("\\d dept") == "id BIGINT\nname VARCHAR\nbudget BIGINT" and shell.execute("\\d") == "dept\nemp"
+    (tmp_path / "x.csv").write_text("a\n1\n")
+    assert shell.execute(f"\\load x {tmp_path / 'x.csv'}") == "loaded x"
+    assert shell.execute("\\q") is None
