@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import small, written
+
 #: Terms of a vector; fixed, so every vector and model is bounded.
 TERMS = 4096
 #: The last terms of a style vector count bytes in repeated grams and repeated lines.
@@ -80,10 +82,12 @@ def inverse_frequency(counts: np.ndarray) -> np.ndarray:
 def bounded_sample(rows: DataFrame, docs: DataFrame, per_label: int) -> DataFrame:
     """(label, text) of at most ``per_label`` rows of each label, those with the least digest of doc_id. rows: doc_id, label.
 
-    Only ids are ranked; the limit is pushed below the exchange, so a label that has most rows sends few of them.
+    Only ids are ranked; the limit is pushed below the exchange, so a label that has most rows sends few of them. The ids
+    chosen are written and broadcast if they are few, so that no text is shuffled.
     """
     best = W.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
     ids = rows.withColumn("n", F.row_number().over(best)).where(F.col("n") <= per_label).select(F.col("doc_id").alias("sample_id"), "label")
+    ids = small(written(ids, "sample_ids"))
     return docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("sample_id")).select("label", "text")
 
 
