@@ -205,7 +205,8 @@ def in_memory(text: np.ndarray, cap: int) -> tuple[np.ndarray, np.ndarray]:
     """Prefix doubling, until ranks differ or cover ``cap`` characters."""
     n = len(text)
     rank = np.unique(text, return_inverse=True)[1].astype(np.int64)
-    levels, h = [rank], 1
+    small = np.int32 if n < 1 << 31 else np.int64
+    levels, h = [rank.astype(small)], 1
     while h < cap and rank.max() + 1 < n:
         second = np.zeros(n, np.int64)
         second[: n - h] = rank[h:] + 1
@@ -213,7 +214,7 @@ def in_memory(text: np.ndarray, cap: int) -> tuple[np.ndarray, np.ndarray]:
         order = np.argsort(key, kind="stable")
         rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(np.concatenate(([0], key[order][1:] != key[order][:-1])))
-        levels.append(rank)
+        levels.append(rank.astype(small))
         h *= 2
     suffix = np.argsort(rank, kind="stable")
     off = np.zeros(n, np.int64)

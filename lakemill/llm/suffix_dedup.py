@@ -1,6 +1,6 @@
 """Removal of every byte covered by a 200-byte string that starts anywhere else, by suffix and common-prefix arrays.
 
-Equal strings meet in one shard: a string's key is the least hash of its 32-byte grams, so runs of neighbouring starts
+Equal strings meet in one shard: a string's key is the least hash of its 64-byte grams, so runs of neighbouring starts
 with one key form an item (its bytes, from the first start to the end of the last string). Keys that occur once in the
 whole table cannot hold a repeat. Items of the other keys are made from the texts that have them; equal items are merged
 and counted; the distinct ones of a shard are sorted by ``induced.suffix_array``, where a string starts again somewhere
@@ -24,13 +24,13 @@ from .common import written
 from .induced import suffix_array
 
 LENGTH = 200
-GRAM, LONG_GRAM = 32, 96
+GRAM, LONG_GRAM = 64, 128
 #: Bits of a gram's place within a window of a long text.
 PLACE = 21
 #: Occurrences of a key from which its items are cut again.
-HOT = 4096
+HOT = 512
 #: Bytes of items in a shard, about.
-SHARD = 3 << 20
+SHARD = 1 << 20
 EMPTY = hashlib.sha256(b"").hexdigest()
 
 
@@ -157,8 +157,8 @@ def make_items(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             part, rows = b.iloc[i : i + 64], []
             for sha, text, keys, hot in zip(part["sha"], part["text"], part["keys"], part["hot"], strict=True):
                 wanted = dict(zip(keys.tolist(), hot.tolist(), strict=True))
-                rows += [(sha, lo, key, xxhash.xxh3_128_hexdigest(x), x) for key, lo, x in items_of(raw(text), wanted)]
-            yield pd.DataFrame(rows, columns=["sha", "start", "key", "item", "bytes"])
+                rows += [(sha, lo, key, xxhash.xxh3_128_hexdigest(x), len(x), x) for key, lo, x in items_of(raw(text), wanted)]
+            yield pd.DataFrame(rows, columns=["sha", "start", "key", "item", "size", "bytes"])
 
 
 def sort_shard(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -176,23 +176,24 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(doc_id, n_bytes, sha) of every row; (sha, copies) of every text; (sha, text, spans of starts) of single texts with repeats."""
     spark = docs.sparkSession
     rows = written(keyed(docs), "text_keys")
-    texts = rows.groupBy("sha").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first"), F.first("keys").alias("keys"), F.first("times").alias("times"))
-    texts = written(texts, "texts")
-    each = texts.select("sha", F.explode(F.arrays_zip("keys", "times")).alias("k")).select("sha", F.col("k.keys").alias("key"), F.col("k.times").alias("times"))
+    # Keys travel with a 60-bit stand-in for the text: two texts that share one would only get some keys too many.
+    text_id = F.conv(F.substring("sha", 1, 15), 16, 10).cast("long").alias("text_id")
+    each = rows.groupBy("sha").agg(F.first("keys").alias("keys"), F.first("times").alias("times"))
+    each = each.select(text_id, F.explode(F.arrays_zip("keys", "times")).alias("k")).select("text_id", F.col("k.keys").alias("key"), F.col("k.times").alias("times"))
     often = each.groupBy("key").agg(F.sum("times").alias("n")).where("n > 1").select("key", (F.col("n") >= HOT).alias("hot"))
-    wanted = each.select("sha", "key").join(often, "key").groupBy("sha").agg(F.collect_list("key").alias("keys"), F.collect_list("hot").alias("hot"))  # a text's own keys
-    wanted = written(wanted.join(texts.select("sha", "first", "copies"), "sha"), "wanted_keys").withColumnRenamed("sha", "wanted_sha")
+    wanted = each.select("text_id", "key").join(often, "key").groupBy("text_id").agg(F.collect_list("key").alias("keys"), F.collect_list("hot").alias("hot"))  # a text's own keys
+    texts = written(rows.groupBy("sha").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first")), "texts")
+    wanted = written(wanted.join(texts.select(text_id, "sha", "first", "copies"), "text_id").drop("text_id"), "wanted_keys").withColumnRenamed("sha", "wanted_sha")
     body = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     found = F.col("doc_id").eqNullSafe(F.col("first")) & (F.sha2(F.col("text").cast("binary"), 256) == F.col("wanted_sha"))
     body = written(body.join(wanted.hint("shuffle_hash"), found).select(F.col("wanted_sha").alias("sha"), "text", "keys", "hot", "copies"), "candidates")
 
-    items = written(body.select("sha", "text", "keys", "hot").mapInPandas(make_items, "sha string, start long, key long, item string, bytes binary"), "items")
+    items = written(body.select("sha", "text", "keys", "hot").mapInPandas(make_items, "sha string, start long, key long, item string, size long, bytes binary"), "items")
     # Repeated rows of one id were read again above: they are copies, which need no spans of their own.
-    unique = items.groupBy("item").agg(F.countDistinct("sha", "start").alias("n"), F.first("key").alias("key"), F.first("bytes").alias("bytes"))
-    unique = written(unique, "unique_items")
-    total = unique.agg(F.sum(F.length("bytes"))).first()[0] or 0
+    unique = items.groupBy("item").agg(F.count(F.lit(1)).alias("n"), F.first("key").alias("key"), F.first("bytes").alias("bytes"))
+    total = items.agg(F.sum("size")).first()[0] or 0
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // SHARD))
-    sorted_ = unique.select("key", "item", "bytes", "n").repartition(shards, "key").mapInPandas(sort_shard, "item string, spans array<long>")
+    sorted_ = unique.repartition(shards, "key").select("item", "n", "bytes").mapInPandas(sort_shard, "item string, spans array<long>")
     sorted_ = written(sorted_, "item_spans")
     at = items.select("sha", "start", "item").join(sorted_, "item")
     spans = at.select("sha", F.transform("spans", lambda x: x + F.col("start")).alias("spans")).groupBy("sha").agg(F.flatten(F.collect_list("spans")).alias("spans"))
