@@ -1,0 +1,97 @@
+"""The pipeline's stages on their own inputs, against brute force; and the entry point without these folders."""
+
+import shutil
+import subprocess
+import sys
+from collections import Counter
+from pathlib import Path
+
+import numpy as np
+import pytest
+
+import corpus_pipeline
+from lakemill.llm import mixing, quality_rules
+from lakemill.llm.common import written
+
+from ..conftest import SF
+from .test_units import brute_removed
+
+ROOT = Path(__file__).resolve().parents[2]
+
+
+@pytest.fixture(scope="module")
+def stages(spark):
+    df = spark.read.parquet(f"{SF}/documents.parquet")
+    out = {"documents": df}
+    for name, stage in corpus_pipeline.STAGES:
+        df = out[name] = written(stage(spark, df, SF), "test_" + name)
+    return {k: v.collect() for k, v in out.items()} | {"columns": {k: v.columns for k, v in out.items()}}
+
+
+def test_columns(stages):
+    for name in ("quality_rules", "minhash_dedup", "suffix_dedup", "mixing"):
+        assert stages["columns"][name] == stages["columns"]["documents"]
+
+
+def test_quality(spark, stages):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    kept = {r.doc_id for r in quality_rules.quality_rules(docs, labels).where("kept").collect()}
+    assert {r.doc_id for r in stages["quality_rules"]} == kept and len(kept) > 50
+
+
+def test_near_duplicates(stages):
+    rows = stages["quality_rules"]
+    sets = {}
+    for r in rows:
+        w = r.text.encode().lower().split()
+        sets[r.doc_id] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+    parent = {i: i for i in sets}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    ids = sorted(sets)
+    for k, a in enumerate(ids):
+        for b in ids[k + 1 :]:
+            both = len(sets[a] & sets[b])
+            if both and 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both):
+                x, y = root(a), root(b)
+                parent[max(x, y)] = min(x, y)
+    assert {r.doc_id for r in stages["minhash_dedup"]} == {i for i in ids if root(i) == i}
+
+
+def test_repeats_are_removed(stages):
+    before = sorted(stages["minhash_dedup"], key=lambda r: r.doc_id)
+    texts = [r.text.encode() for r in before]
+    want = {r.doc_id: np.frombuffer(t, np.uint8)[~g].tobytes().decode("utf-8", "ignore") for r, t, g in zip(before, texts, brute_removed(texts))}
+    got = {r.doc_id: r for r in stages["suffix_dedup"]}
+    assert {i: r.text for i, r in got.items()} == want
+    assert all(r.n_chars == len(r.text) for r in got.values())
+
+
+def test_mixing(spark, stages):
+    df = spark.createDataFrame([(r.doc_id, r.source) for r in stages["suffix_dedup"]], "doc_id long, source string")
+    assert Counter(r.doc_id for r in stages["mixing"]) == Counter(r.doc_id for r in mixing.mixing(df).collect())
+
+
+def test_packing(stages):
+    from .test_operators import library_ids
+
+    want = Counter()
+    for r in stages["mixing"]:
+        want[r.doc_id] += len(library_ids(r.text)) + 1
+    got = Counter()
+    for r in stages["packing"]:
+        got[r.doc_id] += r.length
+    assert got == want
+
+
+def test_entry_works_without_these_folders(tmp_path):
+    for name in ("lakemill", "tests", "__spark_entry__.py"):
+        source = ROOT / name
+        shutil.copytree(source, tmp_path / name, ignore=shutil.ignore_patterns("__pycache__", "llm")) if source.is_dir() else shutil.copy(source, tmp_path)
+    code = "import __spark_entry__ as e; q = e.queries(); assert 'tpch_q1' in q and not [x for x in q if x.startswith('op') and x[2:3].isdigit()] and 'pipeline' not in q; print(len(e.oracle_sql()))"
+    got = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True)
+    assert got.returncode == 0 and int(got.stdout.split()[-1]) > 80, got.stderr
