@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, language_id, minhash, mixing, packing, quality_classifier, quality_rules, suffix_dedup, token_counts, url_filter
+from . import fingerprints, language_id, minhash, mixing, oracle, packing, quality_classifier, quality_rules, suffix_dedup, token_counts, url_filter
 from .common import table
 
 
@@ -76,4 +76,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracle.oracle_sql()
