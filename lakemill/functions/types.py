@@ -44,10 +44,14 @@ def double_text(x: str) -> str:
     exact = f"""CASE WHEN e_ < 0 THEN concat('0.', repeat('0', -e_ - 1), {part(1)}, f_)
         WHEN length(f_) <= e_ THEN concat({part(1)}, rpad(f_, e_, '0'))
         ELSE concat({part(1)}, substring(f_, 1, e_), '.', substring(f_, e_ + 1)) END"""
-    science = let("f_", f"CASE WHEN {part(2)} = '0' THEN '' ELSE {part(2)} END", let("e_", f"CAST({part(3)} AS INT)", exact))
+    science = let("f_", f"regexp_replace({part(2)}, '0+$', '')", let("e_", f"CAST({part(3)} AS INT)", exact))
     body = f"""CASE WHEN s_ = 'NaN' THEN s_ WHEN instr(s_, 'Infinity') > 0 THEN replace(s_, 'Infinity', 'inf')
         WHEN instr(s_, 'E') = 0 THEN regexp_replace(s_, '[.]0$', '') ELSE concat(CASE WHEN s_ LIKE '-%' THEN '-' ELSE '' END, {science}) END"""
-    return let("s_", f"CAST({x} AS STRING)", body)
+    # Java may print a 17th digit that is not needed to tell the number apart.
+    sixteen = f"replace(upper(format_string('%.15e', {x})), 'E+', 'E')"
+    digits = "length(regexp_replace(regexp_replace(r_, 'E.*', ''), '[^0-9]', ''))"
+    shortest = let("r_", f"CAST({x} AS STRING)", f"CASE WHEN {digits} > 16 AND try_cast({sixteen} AS DOUBLE) = {x} THEN {sixteen} ELSE r_ END")
+    return let("s_", shortest, body)
 
 
 def checked(x: str, kind: str, pattern: str, to: str) -> str:
