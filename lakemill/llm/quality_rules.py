@@ -21,7 +21,7 @@ from .common import small, written
 SPACE = r"[ \t-\r]+"
 SYMBOLS = r"[#*$%&|<>]"
 MIN_WORDS = 50
-MAX_FALSE_REJECTION = 0.02
+MAX_FALSE_REJECTION = 0.05
 ERROR = 0.05
 #: A good document lost weighs as much as this many bad ones caught.
 GOOD_WEIGHT = 5.0
