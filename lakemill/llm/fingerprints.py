@@ -19,17 +19,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import small, written
 
 PARAGRAPH = r"[^\n]{1,120}"
 LANES = 3
 #: Cells of a lane in the fingerprint that is returned.
 CELLS = 4
 ROUNDS = 12
+#: A row's number, from its bucket and its place there.
+ROW = "cast(bucket as bigint) * 4294967296 + place"
+#: Elements of the texts themselves in a partition of cells, about.
+PART = 50_000
 ATTEMPTS = 40
 #: Rows per bucket of neighbouring ids, and buckets.
 BUCKET, BUCKETS = 2000, 1 << 16
-ROW = ("bucket", "place")
+#: A lane's number stands above this many bits of a cell's place; found elements lie beyond the lanes.
+LANE, FOUND = 40, 8
 
 
 def bucketed(df: DataFrame) -> DataFrame:
@@ -75,95 +80,121 @@ def versions(docs: DataFrame) -> DataFrame:
     )
 
 
-def elements(rows: DataFrame) -> DataFrame:
-    """bucket, place, version, key: the distinct elements of the three versions, dealt by row."""
-    dealt = rows.repartition(*ROW)
-    each = dealt.select(*ROW, F.explode(F.array(*(F.struct(F.lit(v).alias("version"), F.col(v).alias("digests")) for v in ("own", "edited", "next")))).alias("v"))
-    each = each.select(*ROW, "v.version", F.explode("v.digests").alias("digest"))
-    counted = each.groupBy(*ROW, "version", "digest").agg(F.count(F.lit(1)).alias("times"))
-    return counted.select(*ROW, "version", F.xxhash64("digest", "times").alias("key"))
+def starts(digests: str) -> Column:
+    """Where each distinct digest begins in a sorted array."""
+    return F.filter(F.transform(digests, lambda h, i: F.when((i == 0) | (h != F.get(digests, i - 1)), i)), lambda i: i.isNotNull())
+
+
+def keys_of(digests: str, at: str) -> Column:
+    """An element per distinct digest: its digest and how often it occurs."""
+    return F.transform(at, lambda i, j: F.xxhash64(F.get(digests, i), F.coalesce(F.get(at, j + 1), F.size(digests)) - i))
+
+
+def with_elements(rows: DataFrame) -> DataFrame:
+    """``rows`` with own, edited and next as arrays of distinct elements."""
+    names = ("own", "edited", "next")
+    df = rows.withColumns({n: F.sort_array(n) for n in names})
+    df = df.withColumns({n + "_at": starts(n) for n in names})
+    return df.withColumns({n: keys_of(n, n + "_at") for n in names}).drop(*(n + "_at" for n in names))
 
 
 def check(key: Column) -> Column:
-    return F.xxhash64(key, F.lit("check"))
+    return F.xxhash64(key, F.lit(1))
 
 
 def cell(key: Column, lane: int, width: Column, seed: int) -> Column:
-    return F.pmod(F.xxhash64(key, F.lit(lane), F.lit(seed)), width).cast("int")
+    """Place in all lanes: the lane's number above its cells."""
+    return F.pmod(F.xxhash64(key, F.lit(lane), F.lit(seed)), width) + F.lit(lane << LANE)
 
 
 def put(key: Column, count: Column, width: Column, seed: int) -> list[Column]:
     """What an element adds to (or, again, takes out of) its cells."""
-    return [F.struct(F.lit(j).alias("lane"), cell(key, j, width, seed).cast("long").alias("at"), count.cast("long").alias("count"), key.alias("keys"), check(key).alias("checks")) for j in range(LANES)]
+    return [F.struct(cell(key, j, width, seed).alias("at"), count.cast("long").alias("count"), key.alias("keys"), check(key).alias("checks")) for j in range(LANES)]
 
 
 def summed(df: DataFrame, *by: str) -> DataFrame:
-    return df.groupBy(*by, "lane", "at").agg(F.sum("count").alias("count"), F.bit_xor("keys").alias("keys"), F.bit_xor("checks").alias("checks"))
+    return df.groupBy(*by, "at").agg(F.sum("count").alias("count"), F.bit_xor("keys").alias("keys"), F.bit_xor("checks").alias("checks"))
+
 
+def cell_text(keys: str, lane: int, at: int) -> Column:
+    """Place, count, xor of the elements and of their checks; null for an empty cell."""
 
-def sketches(found: DataFrame) -> DataFrame:
-    """bucket, place, version, fingerprint: the cells of a small sketch as text, nothing for a version without elements."""
-    cells = found.select(*ROW, "version", F.explode(F.array(*put(F.col("key"), F.lit(1), F.lit(CELLS), 0))).alias("c")).select(*ROW, "version", "c.*")
-    cells = summed(cells, *ROW, "version")
-    text = F.concat_ws(":", F.lpad(F.hex(F.col("lane") * CELLS + F.col("at")), 2, "0"), F.hex("count"), F.hex("keys"), F.substring(F.hex("checks"), 1, 8))
-    return cells.groupBy(*ROW, "version").agg(F.array_join(F.sort_array(F.collect_list(text)), ".").alias("fingerprint"))  # 12 cells
+    def add(a: Column, k: Column) -> Column:
+        mine = F.struct((a["n"] + 1).alias("n"), a["k"].bitwiseXOR(k).alias("k"), a["c"].bitwiseXOR(check(k)).alias("c"))
+        return F.when(cell(k, lane, F.lit(CELLS), 0) == (lane << LANE) + at, mine).otherwise(a)
 
+    zero = F.struct(*(F.lit(0).cast("long").alias(x) for x in "nkc"))
+    return F.aggregate(keys, zero, add, lambda a: F.when(a["n"] > 0, F.concat_ws(":", F.lit(f"{lane * CELLS + at:02X}"), F.hex(a["n"]), F.hex(a["k"]), F.substring(F.hex(a["c"]), 1, 8))))
 
-FOUND = 9
 
+def fingerprint(keys: str) -> Column:
+    """The cells of a small sketch as text."""
+    return F.concat_ws(".", *(cell_text(keys, lane, at) for lane in range(LANES) for at in range(CELLS)))
 
-def peeled(pairs: DataFrame, seed: int) -> DataFrame:
-    """bucket, place, pair, cells left, elements recovered on either side. pairs: elements with sign and the lanes' width."""
-    by = (*ROW, "pair", "width")
-    each = pairs.select(*by, "sign", F.explode(F.array(*put(F.col("key"), F.lit(1), F.col("width"), seed))).alias("c")).select(*by, "sign", "c.*")
-    per_version = summed(each, *by, "sign")
-    difference = per_version.select(*by, "lane", "at", (F.col("count") * F.col("sign")).alias("count"), "keys", "checks")
-    cells = summed(difference, *by)
+
+def side(name: str, sign: int) -> Column:
+    return F.transform(name, lambda k: F.struct(F.lit(sign).alias("sign"), k.alias("key")))
+
+
+def peeled(pairs: DataFrame, seed: int, digests: bool = False) -> DataFrame:
+    """row, kind, cells left, elements recovered on either side. pairs: row, kind, width and the elements own and other.
+
+    What is recovered is kept as one cell per side beyond the lanes, with the count of the elements and their xor; with
+    ``digests`` each has its own, and the arrays only_own_digests and only_other_digests are returned too. A version's
+    elements enter the cells with its sign, which is the same as subtracting the cells of one from those of the other.
+    """
+    by = ("row", "kind", "width")
+    signed = F.concat(side("own", 1), side("other", -1))
+    each = pairs.select(*by, F.explode(signed).alias("e")).select(*by, "e.*")
+    cells = summed(each.select(*by, F.explode(F.array(*put(F.col("key"), F.col("sign"), F.col("width"), seed))).alias("c")).select(*by, "c.*"), *by)
     filled = "count != 0 or keys != 0 or checks != 0"
     for r in range(ROUNDS):
         cells = cells.where(filled)
-        alone = (F.col("lane") == r % LANES) & F.col("count").isin(1, -1) & (check(F.col("keys")) == F.col("checks")) & (cell(F.col("keys"), r % LANES, F.col("width"), seed) == F.col("at"))
-        same = F.struct("lane", "at", "count", "keys", "checks")
-        given = F.struct(F.lit(FOUND).alias("lane"), F.col("keys").alias("at"), "count", F.col("keys").alias("keys"), F.lit(0).cast("long").alias("checks"))
+        alone = (F.shiftright("at", LANE) == r % LANES) & F.col("count").isin(1, -1) & (check(F.col("keys")) == F.col("checks")) & (cell(F.col("keys"), r % LANES, F.col("width"), seed) == F.col("at"))
+        same = F.struct("at", "count", "keys", "checks")
+        beyond = F.when(F.col("count") > 0, F.lit(FOUND << LANE)).otherwise(F.lit(FOUND + 1 << LANE))
+        if digests:
+            beyond = beyond + F.col("keys").bitwiseAND(F.lit((1 << LANE) - 1))
+        given = F.struct(beyond.alias("at"), "count", F.col("keys").alias("keys"), F.lit(0).cast("long").alias("checks"))
         out = F.when(alone, F.array(same, given, *put(F.col("keys"), -F.col("count"), F.col("width"), seed))).otherwise(F.array(same))
         cells = summed(cells.select(*by, F.explode(out).alias("c")).select(*by, "c.*"), *by)
-    side = lambda n: F.sum(F.when((F.col("lane") == FOUND) & (F.col("count") == n), 1).otherwise(0))
-    return cells.where(filled).groupBy(*ROW, "pair").agg(F.sum(F.when(F.col("lane") < FOUND, 1).otherwise(0)).alias("left_over"), side(1).alias("only_own"), side(-1).alias("only_other"))
-
-
-def likeness(found: DataFrame) -> DataFrame:
-    """bucket, place, pair, likeness: 1 - recovered differences over elements. found: written elements."""
-    own = found.where("version = 'own'")
-    sides = [own.select(*ROW, "key", F.lit(p).alias("pair"), F.lit(1).alias("sign")).unionByName(found.where(F.col("version") == p).select(*ROW, "key", F.lit(p).alias("pair"), F.lit(-1).alias("sign"))) for p in ("edited", "next")]
-    signed = sides[0].unionByName(sides[1])
-    sizes = written(signed.groupBy(*ROW, "pair").agg(F.count(F.lit(1)).alias("n")), "pair_sizes")
-    expected = F.when(F.col("pair") == "edited", 0.55).otherwise(1.0)
-    open_, done = sizes, None
+    lane = F.shiftright("at", LANE)
+    total = lambda which: F.sum(F.when(lane == which, F.abs("count")).otherwise(0))
+    out = [F.sum(F.when(lane < FOUND, 1).otherwise(0)).alias("left_over"), total(FOUND).alias("only_own"), total(FOUND + 1).alias("only_other")]
+    if digests:
+        out += [F.collect_list(F.when(lane == which, F.col("keys"))).alias(name) for which, name in ((FOUND, "only_own_digests"), (FOUND + 1, "only_other_digests"))]
+    return cells.where(filled).groupBy("row", "kind").agg(*out)
+
+
+def likeness(rows: DataFrame) -> DataFrame:
+    """row, near_edited, near_next: 1 - recovered differences over elements, 1 where there are none. rows: written, with elements."""
+    total = rows.agg(F.sum(F.size("own"))).first()[0] or 0
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // PART)
+    done = None
+    kinds = F.array(*(F.struct(F.lit(i).alias("kind"), F.lit(share).alias("share"), F.col(n).alias("other")) for i, (n, share) in enumerate((("edited", 0.55), ("next", 1.0)))))
+    pairs = rows.select("row", "own", F.explode(kinds).alias("p")).select("row", "own", "p.*")
     for attempt in range(ATTEMPTS):
-        width = (4 + F.ceil(expected * 0.55 * F.col("n"))) * (1 << min(attempt, 12))
-        todo = open_.select(*ROW, "pair", width.cast("long").alias("width"))
-        dealt = signed.join(todo, [*ROW, "pair"])  # by row and pair; no round deals them again
+        width = (12 + F.ceil(F.col("share") * 0.8 * (F.size("own") + F.size("other")))) * (1 << min(attempt, 12))
+        # Rows are dealt as arrays; no round deals their cells again.
+        dealt = pairs.repartition(parts, "row").withColumn("width", width.cast("long")).drop("share")
         tried = written(peeled(dealt, attempt + 1), "peeled")
         good = tried.where("left_over = 0")
         done = good if done is None else done.unionByName(good)
-        failed = tried.where("left_over > 0").select(*ROW, "pair")
-        if not failed.limit(1).count():
+        failed = written(tried.where("left_over > 0").select("row", "kind"), "failed")
+        n = failed.count()
+        if not n:
             break
-        open_ = open_.join(failed, [*ROW, "pair"], "left_semi")
+        pairs = pairs.join(small(failed), ["row", "kind"], "left_semi")
+        parts = max(1, min(parts, n // 100))
     else:
         raise RuntimeError("a sketch could not be peeled")
-    out = sizes.join(done, [*ROW, "pair"], "left")  # pairs without any cell left at the start have no difference
-    return out.select(*ROW, "pair", (1 - F.coalesce(F.col("only_own") + F.col("only_other"), F.lit(0)) / F.col("n")).alias("likeness"))
+    return done.groupBy("row").agg(*(F.max(F.when(F.col("kind") == i, F.col("only_own") + F.col("only_other"))).alias(n) for i, n in enumerate(("edited_differs", "next_differs"))))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next: one row per input row."""
-    rows = written(versions(docs), "versions")
-    found = written(elements(rows), "elements")
-    text = sketches(found.where("version in ('own', 'edited')")).groupBy(*ROW).agg(*(F.max(F.when(F.col("version") == v, F.col("fingerprint"))).alias(n) for v, n in (("own", "fingerprint"), ("edited", "edited_fingerprint"))))
-    near = likeness(found).groupBy(*ROW).agg(*(F.max(F.when(F.col("pair") == p, F.col("likeness"))).alias("near_" + p) for p in ("edited", "next")))
-    out = rows.select(*ROW, "doc_id", "n_chars", "edited_sha256").join(text, [*ROW], "left").join(near, [*ROW], "left")
-    return out.select(
-        "doc_id", "n_chars", "edited_sha256", F.coalesce("fingerprint", F.lit("")).alias("fingerprint"), F.coalesce("edited_fingerprint", F.lit("")).alias("edited_fingerprint"),
-        F.coalesce("near_edited", F.lit(1.0)).alias("near_edited"), F.coalesce("near_next", F.lit(1.0)).alias("near_next"),
-    )
+    rows = with_elements(versions(docs).withColumn("row", F.expr(ROW)))
+    rows = written(rows.withColumns({"fingerprint": fingerprint("own"), "edited_fingerprint": fingerprint("edited")}), "versions")
+    out = rows.join(likeness(rows), "row", "left")  # a pair without any cell left at the start has no difference
+    near = lambda n: F.lit(1.0) - F.coalesce(F.col(n + "_differs") / (F.size("own") + F.size(n)), F.lit(0.0))
+    return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", near("edited").alias("near_edited"), near("next").alias("near_next"))
