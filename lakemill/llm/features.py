@@ -82,11 +82,14 @@ def inverse_frequency(counts: np.ndarray) -> np.ndarray:
 def bounded_sample(rows: DataFrame, docs: DataFrame, per_label: int) -> DataFrame:
     """(label, text) of at most ``per_label`` rows of each label, those with the least digest of doc_id. rows: doc_id, label.
 
-    Only ids are ranked; the limit is pushed below the exchange, so a label that has most rows sends few of them. The ids
-    chosen are written and broadcast if they are few, so that no text is shuffled.
+    Only ids are ranked, and of a frequent label only those whose digest can be among the least: about twice as many rows
+    as are kept. The ids chosen are written and broadcast if they are few, so that no text is shuffled.
     """
-    best = W.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = rows.withColumn("n", F.row_number().over(best)).where(F.col("n") <= per_label).select(F.col("doc_id").alias("sample_id"), "label")
+    counts = small(written(rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")), "label_counts")).withColumnRenamed("label", "counted")
+    digest = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 52))
+    low = rows.withColumn("digest", digest).join(counts, F.col("label") == F.col("counted")).where(F.col("digest").cast("double") * F.col("n") < (2 * per_label + 50) * float(1 << 52))
+    best = W.partitionBy("label").orderBy("digest", "doc_id")
+    ids = low.withColumn("place", F.row_number().over(best)).where(F.col("place") <= per_label).select(F.col("doc_id").alias("sample_id"), "label")
     ids = small(written(ids, "sample_ids"))
     return docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("sample_id")).select("label", "text")
 
