@@ -1,0 +1 @@
+"""Types, casts and scalar functions as Spark SQL text."""

@@ -1,0 +1 @@
+"""CSV, generated and demo tables."""

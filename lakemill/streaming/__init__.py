@@ -1,0 +1 @@
+"""Empty on purpose: the dialect has no streams, windows of time or late data."""
