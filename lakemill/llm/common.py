@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import uuid
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,20 +19,28 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         found = f"file:///tmp/checkpoints/lakemill-{uuid.uuid4().hex}"
         spark.conf.set("spark.checkpoint.dir", found)
-        remove_at_exit(spark, found)
+        remove_at_exit(found)
     return found.rstrip("/")
 
 
-def remove_at_exit(spark: SparkSession, path: str) -> None:
-    def remove() -> None:
-        try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-        except Exception:  # noqa: BLE001  the session may have ended already
-            pass
+_temporary: list[str] = []
+
+
+def remove_at_exit(path: str) -> None:
+    """Intermediate tables outlive the query that reads them lazily, so they go when the driver ends."""
+    if not _temporary:
+        atexit.register(remove)
+    _temporary.append(path)
 
-    atexit.register(remove)
+
+def remove() -> None:
+    try:
+        jvm = SparkContext._jvm
+        for path in _temporary:
+            target = jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(target, True)
+    except Exception:  # noqa: BLE001  the JVM may be gone already
+        pass
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -39,6 +48,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lakemill/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    remove_at_exit(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
