@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import fingerprints, language_id, minhash, mixing, oracle, packing, quality_classifier, quality_rules, suffix_dedup, token_counts, url_filter
-from .common import table
+from .common import remove_at_exit, shared_dir, table
 
 
 def tokenizer() -> str:
@@ -57,7 +58,10 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer())
+    """With a cache of its own, empty at first, so that a run's cost is that of counting everything."""
+    cache = f"{shared_dir(spark)}/lakemill/token_cache-{uuid.uuid4().hex}"
+    remove_at_exit(cache)
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer(), cache)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
