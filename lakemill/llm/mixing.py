@@ -51,16 +51,14 @@ def rates(docs: DataFrame, targets: dict[str, float], rest: float = REST) -> Dat
     pairs = [x for k, v in targets.items() for x in (F.lit(k), F.lit(float(v)))]
     weight = F.create_map(*pairs)[F.col("source")] if pairs else F.lit(None).cast("double")
     counts = counts.select("source", "n", F.coalesce(named, F.lit(False)).alias("named"), weight.alias("target"))
-    sums = counts.agg(
-        F.sum("n").alias("total"), F.sum(F.when(F.col("named"), F.col("target"))).alias("given"),
-        F.coalesce(F.sum(F.when(~F.col("named"), F.col("n"))), F.lit(0)).alias("others"),
-    )  # fmt: skip  one row
-    df = counts.crossJoin(F.broadcast(sums))
-    left = F.greatest(F.lit(0.0), 1 - F.coalesce("given", F.lit(0.0))) * rest
-    whole = F.coalesce("given", F.lit(0.0)) + F.when(F.col("others") > 0, left).otherwise(0.0)
-    share = F.when(F.col("named"), F.col("target")).otherwise(left * F.col("n") / F.col("others")) / whole
-    rate = share * F.col("total") / F.col("n")
-    return df.select("source", F.when(rate > MAX_RATE, F.raise_error(F.lit("a mixing rate is too large"))).otherwise(rate).cast("double").alias("rate"))
+    counts = written(counts, "source_counts")
+    sums = counts.agg(F.sum("n"), F.sum(F.when(F.col("named"), F.col("target"))), F.sum(F.when(~F.col("named"), F.col("n")))).first()
+    total, given, others = float(sums[0] or 0), sums[1] or 0.0, float(sums[2] or 0)
+    left = max(0.0, 1 - given) * rest
+    whole = given + (left if others else 0.0)
+    share = F.when(F.col("named"), F.col("target")).otherwise(left * F.col("n") / (others or 1.0)) / F.lit(whole or 1.0)
+    rate = share * total / F.col("n")
+    return counts.select("source", F.when(rate > MAX_RATE, F.raise_error(F.lit("a mixing rate is too large"))).otherwise(rate).cast("double").alias("rate"))
 
 
 def replicated(docs: DataFrame, targets: dict[str, float] = TARGETS, seed: str = SEED) -> DataFrame:

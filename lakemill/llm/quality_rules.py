@@ -111,6 +111,8 @@ def cutoffs(features: DataFrame, labels: DataFrame, stratum: str = "lang", max_f
     known = known.join(truth, known.doc_id == F.col(P + "id")).select("stratum", F.col(P + "quality").alias("good"), *named)
     level = lambda c: sum((F.when(c > g, 1).otherwise(0) for g in GRID), F.lit(0))  # noqa: E731  how many cutoffs it exceeds
     counts = known.groupBy("stratum", *(level(F.col(n)).alias(n) for n in named)).agg(F.sum("good").alias("good"), F.sum(1 - F.col("good")).alias("bad"))
+    counts = written(counts, "rule_counts")
+    strata = max(1, counts.select("stratum").distinct().count())
     grid = F.array(*(F.struct(F.lit(g).alias("cutoff"), F.lit(len(GRID) - i).alias("least")) for i, g in enumerate(GRID)))
     each = counts.select("stratum", "good", "bad", F.explode(F.array(*(F.struct(F.lit(n).alias("rule"), F.col(n).alias("level")) for n in named))).alias("r"))
     each = each.select("stratum", "good", "bad", "r.*").withColumn("c", F.explode(grid))
@@ -119,9 +121,7 @@ def cutoffs(features: DataFrame, labels: DataFrame, stratum: str = "lang", max_f
         F.sum("good").alias("n"), F.sum("bad").alias("n_bad"),
         F.sum(F.when(hit, F.col("good")).otherwise(0)).alias("k"), F.sum(F.when(hit, F.col("bad")).otherwise(0)).alias("k_bad"),
     )
-    strata = counts.select("stratum").distinct().agg(F.count(F.lit(1)).alias("strata"))
-    tests = tests.crossJoin(F.broadcast(strata))  # one row
-    tests = tests.withColumn("safe", binomial_tail(F.col("k"), F.col("n"), max_false_rejection) <= error / (F.col("strata") * len(named)))
+    tests = tests.withColumn("safe", binomial_tail(F.col("k"), F.col("n"), max_false_rejection) <= error / (strata * len(named)))
     sequence = W.partitionBy("stratum", "rule").orderBy(F.desc("cutoff"))  # as many rows as the grid has
     tests = tests.withColumn("safe", F.min("safe").over(sequence)).where("safe and k_bad > 0")
     gain = F.col("k_bad") / F.col("n_bad") - F.lit(GOOD_WEIGHT) * F.col("k") / F.col("n")
