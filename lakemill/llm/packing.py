@@ -20,7 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import small, whole_text, written
-from .tokens import Encoder
+from .tokens import encoder
 
 SIZE = 2048
 END_ID = 1
@@ -33,10 +33,10 @@ def encoded(docs: DataFrame, tokenizer_path: str, size: int = SIZE, end_id: int
     """One row per piece: full pieces of ``size`` ids and a rest."""
 
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, end = Encoder(tokenizer_path), end_id.to_bytes(4, "little")
+        encode, end = encoder(tokenizer_path), end_id.to_bytes(4, "little")
         for b in batches:
             rows = []
-            for doc_id, ids in zip(b["doc_id"], encoder.ids(list(b["text"])), strict=True):
+            for doc_id, ids in zip(b["doc_id"], encode.ids(list(b["text"])), strict=True):
                 ids += end
                 n = len(ids) // 4
                 for at in range(0, n, size):

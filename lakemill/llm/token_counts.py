@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import shared_dir, whole_text, written
-from .tokens import Encoder, check_words, version
+from .tokens import check_words, encoder, version
 
 LIMIT = 2048
 CACHE = "digest string, tokenizer string, n_tokens long"
@@ -49,9 +49,9 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str | None =
     misses = written(misses, "token_misses").select(F.col("digest").alias("miss"), "first")
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = Encoder(tokenizer_path)
+        found = encoder(tokenizer_path)
         for b in batches:
-            yield pd.DataFrame({"digest": b["digest"], "tokenizer": tokenizer, "n_tokens": [len(x) // 4 for x in encoder.ids(list(b["text"]))]})
+            yield pd.DataFrame({"digest": b["digest"], "tokenizer": tokenizer, "n_tokens": [len(x) // 4 for x in found.ids(list(b["text"]))]})
 
     found = F.col("doc_id").eqNullSafe(F.col("first")) & (F.col("digest") == F.col("miss"))
     todo = keyed.join(misses.hint("shuffle_hash"), found, "left_semi").select("digest", "text")

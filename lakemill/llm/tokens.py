@@ -11,9 +11,11 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import sys
+import types
 
 #: Cached words per Python worker (about 250 bytes each); the cache starts anew when it is full.
-CACHED_WORDS = 600_000
+CACHED_WORDS = 800_000
 #: Words encoded in one call.
 JOINED = 256
 TRAILING = b"!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
@@ -118,6 +120,15 @@ class Encoder:
                 at = end
 
 
+def encoder(path: str) -> Encoder:
+    """The worker's encoder of a file. Workers run many tasks, and each task gets this module anew, so the encoder and its
+    cache are kept in a module of the worker's own."""
+    state = sys.modules.setdefault("lakemill_worker", types.ModuleType("lakemill_worker")).__dict__
+    if path not in state:
+        state[path] = Encoder(path)
+    return state[path]
+
+
 def letter(body: bytes) -> bool:
     """Ends in a two-byte Latin-1 letter."""
     return len(body) >= 2 and body[-2] == 0xC3 and 0x80 <= body[-1] <= 0xBF and body[-1] not in (0x97, 0xB7)
