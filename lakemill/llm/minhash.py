@@ -7,7 +7,7 @@ probability of about two in a million. Texts with equal shingle sets form one cl
 Pairs are checked in rounds on whole shingle sets: each class against the bucket minimum that it meets most often; against
 its other bucket minima; in buckets that still hold several components, against the set with the fewest shingles of its
 own; last, what is outside a bucket's largest component against all of the bucket. A pair within one component can't
-change the result, and a pair whose lone shingles already rule out the threshold is no link, so no link is lost.
+change the result, and a pair that lone shingles or bitmaps of the sets rule out is no link, so no link is lost.
 
 Edge cases: null, empty or blank text has no shingles and stays alone; under five words the whole sequence is one
 shingle; rows that share a doc_id are one document; a null doc_id never represents a component that has an id.
@@ -27,6 +27,8 @@ from .graph import components
 WORDS = 5
 PERCENT = 75
 BANDS, ROWS = 48, 5
+#: Bits of a set's bitmap, a power of two.
+BITS = 1024
 #: Cached word hashes per Python worker.
 CACHED_WORDS = 1_000_000
 #: Nodes from here on stand for documents without an id.
@@ -131,6 +133,16 @@ def signed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(sign, SIGNED)
 
 
+def bitmap(shingles):
+    """BITS bits, set where a shingle falls, as signed 64-bit words. A bit that only one of two sets has is a shingle the
+    other lacks, which bounds what they share from above."""
+    import numpy as np
+
+    bits = np.zeros(BITS, np.uint8)
+    bits[(shingles & np.uint64(BITS - 1)).astype(np.int64)] = 1
+    return np.packbits(bits).view(np.int64)
+
+
 def shingle_sets(docs: DataFrame) -> DataFrame:
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import numpy as np
@@ -138,9 +150,9 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
         shingler = Shingler()
         for b in batches:
             found = [shingler(t) for t in b["text"]]
-            yield pd.DataFrame({"set_key": [set_key(s) for s in found], "shingles": [s.view(np.int64) for s in found]})
+            yield pd.DataFrame({"set_key": [set_key(s) for s in found], "shingles": [s.view(np.int64) for s in found], "bits": [bitmap(s) for s in found]})
 
-    return docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInPandas(sets, "set_key string, shingles array<long>")
+    return docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInPandas(sets, "set_key string, shingles array<long>, bits array<long>")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -168,8 +180,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     wanted = nodes.join(fetch, "node", "left_semi")
     ids = wanted.select(F.col("first").alias("id")).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
-    sets = shingle_sets(texts).groupBy("set_key").agg(F.first("shingles").alias("shingles"))
-    sets = written(sets.join(wanted.select("set_key", "node"), "set_key").select("node", "shingles"), "shingle_sets")
+    sets = shingle_sets(texts).groupBy("set_key").agg(F.first("shingles").alias("shingles"), F.first("bits").alias("bits"))
+    sets = written(sets.join(wanted.select("set_key", "node"), "set_key").select("node", "shingles", "bits"), "shingle_sets")
 
     spokes = written(shared.where("node <> center").groupBy("node", "center").agg(F.count(F.lit(1)).alias("bands")), "spokes")
     best = spokes.groupBy("node").agg(F.max_by("center", F.struct("bands", -F.col("center"))).alias("center"))
@@ -195,17 +207,21 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     body = sets.join(entries.select("node").distinct(), "node", "left_semi").select("node", F.explode("shingles").alias("shingle"))
     lone = body.groupBy("shingle").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("k")).where("k = 1").groupBy("node").agg(F.count(F.lit(1)).alias("lone"))
     entries = entries.join(lone, "node", "left").withColumn("common", F.col("n") - F.coalesce("lone", F.lit(0))).drop("lone")
+    # An id with several texts has several sets, for which no bound is kept.
+    own_bits = sets.groupBy("node").agg(F.count(F.lit(1)).alias("k"), F.first("bits").alias("bits"))
+    entries = entries.join(own_bits, "node").withColumn("bits", F.when(F.col("k") == 1, F.col("bits"))).withColumn("common", F.when(F.col("k") == 1, F.col("common")).otherwise(F.col("n"))).drop("k")
     entries = written(entries.where(100 * F.col("common") >= percent * F.col("n")), "open_buckets")
 
     def possible(x: str, y: str) -> Column:
-        most = F.least(f"{x}.common", f"{y}.common")
+        alone = lambda a, b: sum((F.bit_count(F.get(f"{a}.bits", F.lit(i)).bitwiseAND(F.bitwise_not(F.get(f"{b}.bits", F.lit(i))))) for i in range(BITS // 64)), F.lit(0))
+        most = F.least(f"{x}.common", f"{y}.common", F.col(f"{x}.n") - alone(x, y), F.col(f"{y}.n") - alone(y, x))
         return (F.col(f"{x}.bucket") == F.col(f"{y}.bucket")) & (F.col(f"{x}.c") != F.col(f"{y}.c")) & (100 * most >= percent * (F.col(f"{x}.n") + F.col(f"{y}.n") - most))
 
     def ordered(pairs: DataFrame) -> DataFrame:
         return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
     # The set of a bucket with the fewest lone shingles is nearest to what the bucket's sets have in common.
-    middle = entries.groupBy("bucket").agg(F.max_by(F.struct("node", "n", "c", "common"), F.struct(F.col("common") / F.col("n"), -F.col("node"))).alias("m")).select("bucket", "m.*")
+    middle = entries.groupBy("bucket").agg(F.max_by(F.struct("node", "n", "c", "common", "bits"), F.struct(F.col("common") / F.col("n"), -F.col("node"))).alias("m")).select("bucket", "m.*")
     pairs = ordered(entries.alias("x").join(middle.alias("y"), possible("x", "y")))
     links = written(links.unionByName(verified(pairs, sets, percent)), "linked")
     found = written(components(links), "components")
