@@ -2,16 +2,23 @@
 
 Each rule rejects a document whose share of some unwanted thing exceeds a cutoff. Cutoffs come from labelled
 documents: for each stratum and rule, a fixed grid of cutoffs is tested from the most lenient one downwards against
-"the share of good documents rejected is above ``max_false_rejection``", with the exact binomial tail as p-value. The
-error probability ``error`` is split over all strata and rules (Bonferroni); along one grid the tests form a fixed
+"the share of good documents rejected is above ``max_false_rejection``", with the exact binomial tail as p-value. Half of
+the error probability ``error`` is split over all strata and rules (Bonferroni); along one grid the tests form a fixed
 sequence, which needs no further correction. Of the cutoffs proven safe the one that best tells bad from good is used.
 
+A document is rejected if any rule is broken, so where several rules have a cutoff the limit is proven again for what
+they reject together. Their cutoffs were chosen by the same labels; the other half of ``error`` is therefore split over
+all combinations of cutoffs that could have been chosen. If all chosen rules together are not proven safe, the set of
+them that is and best tells bad from good stays; a single rule has its proof already.
+
 Edge cases: null text has no words (base_failed); a null stratum is a stratum of its own; a stratum with too few labels
 to prove anything gets no cutoff; null or repeated labels: only quality 0 and 1 count, each row once per label row.
 """
 
 from __future__ import annotations
 
+from math import comb
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -121,12 +128,38 @@ def cutoffs(features: DataFrame, labels: DataFrame, stratum: str = "lang", max_f
         F.sum("good").alias("n"), F.sum("bad").alias("n_bad"),
         F.sum(F.when(hit, F.col("good")).otherwise(0)).alias("k"), F.sum(F.when(hit, F.col("bad")).otherwise(0)).alias("k_bad"),
     )
-    tests = tests.withColumn("safe", binomial_tail(F.col("k"), F.col("n"), max_false_rejection) <= error / (strata * len(named)))
+    tests = tests.withColumn("safe", binomial_tail(F.col("k"), F.col("n"), max_false_rejection) <= error / 2 / (strata * len(named)))
     sequence = W.partitionBy("stratum", "rule").orderBy(F.desc("cutoff"))  # as many rows as the grid has
     tests = tests.withColumn("safe", F.min("safe").over(sequence)).where("safe and k_bad > 0")
     gain = F.col("k_bad") / F.col("n_bad") - F.lit(GOOD_WEIGHT) * F.col("k") / F.col("n")
     best = tests.where(gain > 0).groupBy("stratum", "rule").agg(F.max_by("cutoff", F.struct(gain, F.col("cutoff"))).alias("cutoff"))
-    return best.groupBy("stratum").agg(*(F.max(F.when(F.col("rule") == n, F.col("cutoff"))).alias(P + "cut_" + n) for n in named))
+    best = best.groupBy("stratum").agg(*(F.max(F.when(F.col("rule") == n, F.col("cutoff"))).alias(P + "cut_" + n) for n in named))
+    return together(counts, best, max_false_rejection, error / 2 / strata)
+
+
+def together(counts: DataFrame, cuts: DataFrame, max_false_rejection: float, error: float) -> DataFrame:
+    """``cuts`` without the rules whose rejections, joined, are not proven to keep the limit; error is that of a stratum."""
+    names = list(rules())
+    cuts = written(cuts, "single_cutoffs").withColumnRenamed("stratum", P + "stratum")
+    cut = lambda n: F.col(P + "cut_" + n)
+    least = lambda n: sum((F.when(cut(n) >= g, 1).otherwise(0) for g in GRID), F.lit(0))  # noqa: E731  levels from which the cutoff is exceeded
+    bits = lambda test: sum((F.when(test(n), 1 << i).otherwise(0) for i, n in enumerate(names)), F.lit(0))
+    found = counts.join(small(cuts), F.col("stratum").eqNullSafe(F.col(P + "stratum")))
+    found = found.groupBy("stratum", bits(lambda n: cut(n).isNotNull()).alias("all"), bits(lambda n: cut(n).isNotNull() & (F.col(n) >= least(n))).alias("hit"))
+    found = found.agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))  # at most as many rows as sets of rules
+    found = found.withColumn("set", F.explode(F.sequence(F.lit(1), F.lit((1 << len(names)) - 1)))).where(F.col("set").bitwiseAND(F.col("all")) == F.col("set"))
+    hit = F.col("hit").bitwiseAND(F.col("set")) > 0
+    sets = found.groupBy("stratum", "all", "set").agg(
+        F.sum("good").alias("n"), F.sum("bad").alias("n_bad"),
+        F.sum(F.when(hit, F.col("good")).otherwise(0)).alias("k"), F.sum(F.when(hit, F.col("bad")).otherwise(0)).alias("k_bad"),
+    )
+    size = F.bit_count("set")
+    ways = F.get(F.array(*(F.lit(float(comb(len(names), m) * len(GRID) ** m)) for m in range(len(names) + 1))), size)
+    safe = (size == 1) | (binomial_tail(F.col("k"), F.col("n"), max_false_rejection) <= F.lit(error) / (len(names) - 1) / ways)
+    gain = F.col("k_bad") / F.col("n_bad") - F.lit(GOOD_WEIGHT) * F.col("k") / F.col("n")
+    best = sets.where(safe).groupBy("stratum").agg(F.max_by("set", F.struct(F.col("set") == F.col("all"), gain, -F.col("set"))).alias("set"))
+    best = best.join(cuts, F.col("stratum").eqNullSafe(F.col(P + "stratum")))
+    return best.select("stratum", *(F.when(F.col("set").bitwiseAND(F.lit(1 << i)) > 0, cut(n)).alias(P + "cut_" + n) for i, n in enumerate(names)))
 
 
 def judged(features: DataFrame, cuts: DataFrame, stratum: str = "lang") -> DataFrame:

@@ -102,6 +102,26 @@ def test_cutoffs_reject_bad_and_keep_good(spark):
     assert quality_rules.quality_rules(docs, few).where("not kept").count() == 0
 
 
+def shares(spark, n_good, each):
+    """Features and labels: every rule alone meets ``each`` good documents, no two rules the same one, and 100 bad ones."""
+    own = ["n_symbols", "n_repeat_words", "n_dup_lines", "__rule_capitals", "__rule_shouts"]
+    rows = [(i, "en", False, 100, 100, 100, *(90 * (i // each == r) for r in range(5)), 1) for i in range(n_good)]
+    rows += [(n_good + i, "en", False, 100, 100, 100, *(90 * (i // 100 == r) for r in range(5)), 0) for i in range(500)]
+    known = spark.createDataFrame(rows, ["doc_id", "lang", "base_failed", "word_chars", "n_words", "__rule_lines", *own, "quality"])
+    return known.drop("quality"), known.select("doc_id", "quality")
+
+
+def test_all_rules_together_keep_the_limit(spark):
+    """Each of five rules rejects 3 % of the good documents, which is proven for each, but 15 % together."""
+    features, truth = shares(spark, 4000, 120)
+    cuts = quality_rules.cutoffs(features, truth)
+    out = quality_rules.judged(features, cuts).join(truth, "doc_id").where("quality = 1")
+    assert 0 < out.where("not kept").count() <= 4000 * quality_rules.MAX_FALSE_REJECTION
+    features, truth = shares(spark, 4000, 8)  # 1 % together: all five stay
+    out = quality_rules.judged(features, quality_rules.cutoffs(features, truth))
+    assert out.where("not kept").count() == 540
+
+
 def test_quality_classifier(spark, docs, rows, labels, empty):
     got = quality_classifier.quality_classifier(docs, labels).collect()
     assert len(got) == len(rows) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in got)
