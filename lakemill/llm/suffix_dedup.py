@@ -4,7 +4,9 @@ Equal strings meet in one shard: a string's key is the least hash of its 64-byte
 with one key form an item (its bytes, from the first start to the end of the last string). Keys that occur once in the
 whole table cannot hold a repeat. Items of the other keys are made from the texts that have them; equal items are merged
 and counted; the distinct ones of a shard are sorted by ``induced.suffix_array``, where a string starts again somewhere
-iff its suffix shares 200 bytes with a neighbour. A key with very many items is cut again by a second, longer gram.
+iff its suffix shares 200 bytes with a neighbour. A key with very many items is cut again by a second, longer gram. A key
+whose distinct items are still more than a part of a shard is cut down to single strings, whose digests are counted
+instead of sorted; so no key fills a shard, however many texts share less than 200 bytes of a passage.
 Copies of whole texts are settled by digest and take part once.
 
 Edge cases: null text is empty; under 200 bytes nothing is removed; repeated rows are copies of each other; overlapping
@@ -20,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import small, written
 from .induced import suffix_array
 
 LENGTH = 200
@@ -31,6 +33,10 @@ PLACE = 21
 HOT = 512
 #: Bytes of items in a shard, about.
 SHARD = 1 << 20
+#: Bytes of a key's distinct items above which its strings are counted by digest.
+KEY_BYTES = SHARD // 4
+#: Parts that the items holding one string are dealt into.
+PARTS = 256
 EMPTY = hashlib.sha256(b"").hexdigest()
 
 
@@ -172,6 +178,35 @@ def sort_shard(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame([(n, s) for n, s in zip(names, found, strict=True) if s], columns=["item", "spans"])
 
 
+def single_strings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Runs of equal strings of each item: (item, its occurrences, first start, end, digest of the string)."""
+    import numpy as np
+    import xxhash
+
+    for b in batches:
+        for i in range(0, len(b), 64):
+            part, rows = b.iloc[i : i + 64], []
+            for item, n, x in zip(part["item"], part["n"].tolist(), part["bytes"], strict=True):
+                data = np.frombuffer(x, np.uint8)
+                for lo, hi, _, _ in zip(*(v.tolist() for v in runs(data, LENGTH)), strict=True):
+                    one = hi - lo == 1 or not (data[lo : hi + LENGTH - 2] != data[lo + 1 : hi + LENGTH - 1]).any()
+                    for a, z in [(lo, hi)] if one else [(k, k + 1) for k in range(lo, hi)]:
+                        rows.append((item, n, a, z, xxhash.xxh3_128_digest(x[a : a + LENGTH])))
+            yield pd.DataFrame(rows, columns=["item", "n", "from", "to", "string"])
+
+
+def counted_spans(unique: DataFrame) -> DataFrame:
+    """(item, spans) as sort_shard has them, for items of keys that are too large for a shard."""
+    each = unique.select("item", "n", "bytes").mapInPandas(single_strings, "item string, n long, from long, to long, string binary")
+    # A string that very many items hold is dealt by part, so that its rows never meet in one task.
+    each = written(each.withColumn("part", F.pmod(F.xxhash64("item"), F.lit(PARTS))), "single_strings")
+    counts = each.groupBy("string", "part").agg(F.sum(F.col("n") * (F.col("to") - F.col("from"))).alias("times"))
+    often = counts.groupBy("string").agg(F.sum("times").alias("times")).where("times > 1").select("string")
+    often = counts.select("string", "part").join(often, "string")
+    found = each.join(often, ["string", "part"]).groupBy("item").agg(F.sort_array(F.collect_list(F.struct("from", "to"))).alias("runs"))
+    return found.select("item", F.flatten(F.transform("runs", lambda r: F.array(r["from"], r["to"]))).alias("spans"))
+
+
 def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(doc_id, n_bytes, sha) of every row; (sha, copies) of every text; (sha, text, spans of starts) of single texts with repeats."""
     spark = docs.sparkSession
@@ -193,7 +228,14 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     unique = items.groupBy("item").agg(F.count(F.lit(1)).alias("n"), F.first("key").alias("key"), F.first("bytes").alias("bytes"))
     total = items.agg(F.sum("size")).first()[0] or 0
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // SHARD))
-    sorted_ = unique.repartition(shards, "key").select("item", "n", "bytes").mapInPandas(sort_shard, "item string, spans array<long>")
+    sizes = items.groupBy("item").agg(F.first("key").alias("key"), F.first("size").alias("size")).groupBy("key").agg(F.sum("size").alias("size"))
+    large = written(sizes.where(F.col("size") > KEY_BYTES).select("key"), "large_keys")
+    some = large.limit(1).count() > 0
+    light = unique.join(small(large), "key", "left_anti") if some else unique
+    sorted_ = light.repartition(shards, "key").select("item", "n", "bytes").mapInPandas(sort_shard, "item string, spans array<long>")
+    if some:
+        of_large = items.join(small(large), "key", "left_semi").groupBy("item").agg(F.count(F.lit(1)).alias("n"), F.first("bytes").alias("bytes"))
+        sorted_ = sorted_.unionByName(counted_spans(of_large))
     sorted_ = written(sorted_, "item_spans")
     at = items.select("sha", "start", "item").join(sorted_, "item")
     spans = at.select("sha", F.transform("spans", lambda x: x + F.col("start")).alias("spans")).groupBy("sha").agg(F.flatten(F.collect_list("spans")).alias("spans"))

@@ -200,6 +200,34 @@ def test_suffix_dedup(docs, rows, empty):
             assert (by[i][0].text or "") == np.frombuffer(t, np.uint8)[~gone].tobytes().decode("utf-8", "ignore")
 
 
+def test_a_short_passage_in_many_texts_does_not_fill_a_shard(spark, monkeypatch):
+    """150 equal bytes in 4000 texts, each with its own text around them; some share more, one is a run of one letter."""
+    mark = hashlib.sha512(b"passage").hexdigest()[:125] + "the end of this passage.."
+    own = lambda i, side: hashlib.sha512(f"{side}{i}".encode()).hexdigest() * 2
+    texts = [own(i, "a")[:180] + mark + own(i if i >= 40 else i % 20, "b")[:180] for i in range(4000)] + ["z" * 900, "y" * 230]
+    monkeypatch.setattr(suffix_dedup, "SHARD", 1 << 16)
+    monkeypatch.setattr(suffix_dedup, "KEY_BYTES", 1 << 14, raising=False)
+    largest = 1 << 18
+
+    def watched(batches, sort=suffix_dedup.sort_shard):
+        parts = list(batches)
+        if sum(len(x) for b in parts for x in b["bytes"]) > largest:
+            raise MemoryError("a shard is too large")
+        yield from sort(iter(parts))
+
+    monkeypatch.setattr(suffix_dedup, "sort_shard", watched)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.n_removed for r in suffix_dedup.suffix_dedup(docs).collect()}
+    often = Counter(t[k : k + 200] for t in texts for k in range(len(t) - 199))
+    for i, t in enumerate(texts):
+        gone = set()
+        for k in range(len(t) - 199):
+            if often[t[k : k + 200]] > 1:
+                gone.update(range(k, k + 200))
+        assert got[i] == len(gone), i
+    assert got[0] > 200 and got[4000] == 900 and got[4001] == 230 and got[3999] == 0
+
+
 def test_url_filter(spark):
     urls = [
         "http://Sub.Example.ORG/es/1?x", "https://example.org/en/1", "https://example.org/en/2#a", "http://a.example.com/fr/1", "http://a.example.com/de/", "HTTP://b.example.com/it/", "example.com/de/", "http://notexample.org",
