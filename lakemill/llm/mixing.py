@@ -7,7 +7,7 @@ repeats it exactly.
 
 Edge cases: a null source is a source of its own; sources without a target keep ``rest`` as their weight; a target for a
 source that has no documents is left out and the other weights are scaled up; null doc_id and repeated rows draw alike;
-empty table: no rows. Rates above ``MAX_RATE`` are an error rather than cut.
+empty table: no rows. A rate above ``MAX_RATE`` is split over several draws, whose Poisson counts add up.
 """
 
 from __future__ import annotations
@@ -44,6 +44,14 @@ def poisson(u: Column, rate: Column) -> Column:
     return F.aggregate(terms, start, step, lambda a: a["k"])
 
 
+def copies(seed: str, rate: Column) -> Column:
+    """A document's count: one draw of mean at most MAX_RATE, or the sum of as many as the rate takes."""
+    draws = F.greatest(F.lit(1), F.ceil(rate / MAX_RATE)).cast("int")
+    more = lambda a, i: a + poisson(uniform(seed + "-more", F.col("doc_id"), i), rate / draws)
+    rest = F.aggregate(F.sequence(F.lit(2), F.greatest(F.lit(2), draws)), F.lit(0).cast("long"), more)
+    return poisson(uniform(seed, F.col("doc_id")), rate / draws) + F.when(draws > 1, rest).otherwise(F.lit(0).cast("long"))
+
+
 def rates(docs: DataFrame, targets: dict[str, float], rest: float = REST) -> DataFrame:
     """(source, rate): one row per source."""
     counts = docs.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
@@ -58,14 +66,14 @@ def rates(docs: DataFrame, targets: dict[str, float], rest: float = REST) -> Dat
     whole = given + (left if others else 0.0)
     share = F.when(F.col("named"), F.col("target")).otherwise(left * F.col("n") / (others or 1.0)) / F.lit(whole or 1.0)
     rate = share * total / F.col("n")
-    return counts.select("source", F.when(rate > MAX_RATE, F.raise_error(F.lit("a mixing rate is too large"))).otherwise(rate).cast("double").alias("rate"))
+    return counts.select("source", rate.cast("double").alias("rate"))
 
 
 def replicated(docs: DataFrame, targets: dict[str, float] = TARGETS, seed: str = SEED) -> DataFrame:
     """``docs`` plus __rate, __copies, __copy: a row per copy, not yet shuffled."""
     found = small(written(rates(docs, targets), "rates")).withColumnRenamed("source", "__source")
     df = docs.join(found, F.col("source").eqNullSafe(F.col("__source")), "left").withColumnRenamed("rate", "__rate").drop("__source")
-    df = df.withColumn("__copies", poisson(uniform(seed, F.col("doc_id")), F.col("__rate"))).where("__copies > 0")
+    df = df.withColumn("__copies", copies(seed, F.col("__rate"))).where("__copies > 0")
     return df.withColumn("__copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__copies") - 1)))
 
 

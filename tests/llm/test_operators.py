@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from lakemill.llm import fingerprints, language_id, minhash, mixing, packing, quality_classifier, quality_rules, suffix_dedup, token_counts, url_filter
 
@@ -397,6 +398,14 @@ def test_mixing(spark, docs, rows, empty):
     assert n["src0"] / sum(n.values()) == pytest.approx(0.15, abs=0.01) and sum(n.values()) == pytest.approx(40000, rel=0.02)
 
 
+def test_mixing_of_a_rare_source(spark):
+    """5 of 20,000 documents are to be 15 %: a rate of 600 each, drawn in parts."""
+    docs = spark.range(20_000).selectExpr("id as doc_id", "if(id < 5, 'src0', 'src1') as source")
+    got = {r.doc_id: (r.copies, r.n, r.rate) for r in mixing.mixing(docs).where("source = 'src0'").groupBy("doc_id").agg(F.max("copies").alias("copies"), F.count("*").alias("n"), F.max("rate").alias("rate")).collect()}
+    assert len(got) == 5 and all(c == n and r == pytest.approx(600) for c, n, r in got.values())
+    assert all(abs(c - 600) < 150 for c, _, _ in got.values()) and len({c for c, _, _ in got.values()}) > 1
+
+
 def test_token_counts(spark, docs, rows, empty, tmp_path):
     cache = f"file://{tmp_path}/cache"
     for _ in range(2):
