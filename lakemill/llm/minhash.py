@@ -10,7 +10,8 @@ own; last, what is outside a bucket's largest component against all of the bucke
 change the result, and a pair that lone shingles or bitmaps of the sets rule out is no link, so no link is lost.
 
 Edge cases: null, empty or blank text has no shingles and stays alone; under five words the whole sequence is one
-shingle; rows that share a doc_id are one document; a null doc_id never represents a component that has an id.
+shingle; rows that share a doc_id are one document, whose texts' components are joined, but ``kept_documents`` decides on
+each of its texts; a null doc_id never represents a component that has an id.
 """
 
 from __future__ import annotations
@@ -234,6 +235,14 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     links = written(links.unionByName(verified(pairs, sets, percent)), "linked")
     found = written(components(links), "components")
 
+    # An id with several texts links their classes.
+    several = sig.where("doc_id is not null and n_shingles > 0").groupBy("doc_id").agg(F.min("set_key").alias("lo"), F.max("set_key").alias("hi")).where("lo < hi").select("doc_id")
+    if several.limit(1).count():
+        own_nodes = sig.join(several, "doc_id", "left_semi").select("doc_id", "set_key").join(nodes, "set_key").select("doc_id", "node").distinct()
+        least = own_nodes.groupBy("doc_id").agg(F.min("node").alias("a"))
+        same = own_nodes.join(least, "doc_id").where("a < node").select("a", F.col("node").alias("b"))
+        found = written(components(written(links.unionByName(same).distinct(), "linked")), "components")
+
     mine = nodes.select("set_key", "node").join(found, "node", "left").select("set_key", F.coalesce("component", "node").alias("component"))
     out = sig.select("doc_id", "n_shingles", "set_key").join(mine, "set_key", "left")
     component = F.when(F.col("component") >= NO_ID, F.lit(None)).otherwise(F.coalesce("component", "doc_id")).cast("long")
@@ -242,9 +251,20 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def kept_documents(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs``, with their columns: one of each component. Rows without an id all stay unless their texts are equal."""
-    kept = near_duplicates(docs, percent).where("kept").select(F.col("doc_id").alias("__kept_id")).distinct()
-    out = docs.join(kept.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("__kept_id")), "left_semi")
-    key = F.when(F.col("doc_id").isNull(), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
+    """The rows of ``docs``, with their columns: one of each component. Rows without an id all stay unless their texts are equal.
+
+    Of an id with several texts each text is decided on alone: all but one get a stand-in for the id, above all ids.
+    """
     repeated = docs.groupBy("doc_id").count().where("count > 1").limit(1).count()
-    return out.withColumn("__text_key", key).dropDuplicates(["doc_id", "__text_key"]).drop("__text_key") if repeated else out
+    if not repeated:
+        kept = near_duplicates(docs, percent).where("kept").select(F.col("doc_id").alias("__kept_id")).distinct()
+        return docs.join(kept.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("__kept_id")), "left_semi")
+    own = docs.withColumn("__text_key", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
+    first = own.where("doc_id is not null").groupBy(F.col("doc_id").alias("__of")).agg(F.min("__text_key").alias("__lo"), F.max("__text_key").alias("__hi"))
+    first = written(first.where("__lo < __hi").select("__of", "__lo"), "ids_with_texts")
+    stand_in = F.lit(NO_ID >> 1) + F.shiftrightunsigned(F.xxhash64("doc_id", "__text_key"), 3)
+    own = own.join(first, F.col("doc_id") == F.col("__of"), "left").withColumn("__row_id", F.when(F.col("__text_key") != F.col("__lo"), stand_in).otherwise(F.col("doc_id").cast("long")))
+    own = written(own.drop("__of", "__lo"), "rows_by_text")
+    kept = near_duplicates(own.select(F.col("__row_id").alias("doc_id"), "text"), percent).where("kept").select(F.col("doc_id").alias("__kept_id")).distinct()
+    out = own.join(kept.hint("shuffle_hash"), F.col("__row_id").eqNullSafe(F.col("__kept_id")), "left_semi")
+    return out.dropDuplicates(["__row_id", "__text_key"]).select(*docs.columns)

@@ -340,6 +340,17 @@ def test_near_duplicates(docs, rows, empty):
     assert minhash.near_duplicates(empty).count() == 0
 
 
+def test_an_id_with_several_texts(spark):
+    """No text goes that nothing resembles; the near copy of one of them does; the id's components are one."""
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    rows = [(1, text("a")), (1, text("b")), (1, text("b")), (2, text("b") + " more"), (3, text("c")), (5, text("d")), (5, text("e")), (4, text("d")), (6, text("e") + " more"), (None, text("f"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [r.text.split()[0][:2] for r in minhash.kept_documents(docs).collect()]
+    assert sorted(kept) == ["wa", "wb", "wc", "wd", "we", "wf"]
+    found = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs).collect()}
+    assert found == {1: 1, 2: 1, 3: 3, 4: 4, 5: 4, 6: 4, None: None}
+
+
 def test_near_copies_in_a_large_group(spark):
     """Each differs from the others in a few words of its own; some are too far from all of them."""
     import random
