@@ -5,13 +5,12 @@ from __future__ import annotations
 from itertools import count
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
 from .errors import BindError, translated
 from .functions import types as T
 from .plans import ast as A
-from .plans.binder import Query, bind
+from .plans.binder import Query, bind, outlined
 from .plans.parser import parse_query, parse_statements
 
 #: Set on a session of the engine's own, so that the caller's session stays as it is.
@@ -67,8 +66,11 @@ class Result:
 
 
 class Engine:
-    def __init__(self, spark: SparkSession) -> None:
-        self.spark = spark.newSession()
+    """strict_sums: sums and averages of DOUBLE are compensated, so rounding errors cancel; a group's values are then held
+    together in one task. Without it they are plain sums, which are combined before they are shuffled."""
+
+    def __init__(self, spark: SparkSession, strict_sums: bool = False) -> None:
+        self.spark, self.strict_sums = spark.newSession(), strict_sums
         for k in INHERITED:
             if (v := spark.conf.get(k, None)) is not None:
                 self.spark.conf.set(k, v)
@@ -126,7 +128,7 @@ class Engine:
         return parse_query(text)
 
     def bind(self, query: str | A.Select) -> Query:
-        return bind(self.tables, parse_query(query) if isinstance(query, str) else query)
+        return bind(self.tables, parse_query(query) if isinstance(query, str) else query, self.strict_sums)
 
     def run(self, query: str | A.Select) -> Result:
         bound = self.bind(query)
@@ -148,6 +150,11 @@ class Engine:
         except Exception as e:  # noqa: BLE001
             raise translated(e) from e
 
+    def outline(self, query: str | A.Select) -> str:
+        """The bound query, one step a line: what comes out, with types, above what it is made from."""
+        tree = parse_query(query) if isinstance(query, str) else query
+        return outlined(tree, self.bind(tree))
+
     def explain(self, query: str | A.Select, mode: str = "formatted") -> str:
         df = self.sql(query)
         return df.sparkSession._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), mode)
@@ -159,16 +166,5 @@ class Engine:
         self.spark.conf.set("spark.sql.join.preferSortMergeJoin", "false" if hash_join else "true")
         self.spark.conf.set("spark.sql.optimizer.excludedRules", "" if optimize else ",".join(f"org.apache.spark.sql.catalyst.optimizer.{r}" for r in OPTIONAL))
 
-    def analyze(self) -> None:
-        """Turn on cost-based join order for tables whose statistics Spark knows."""
-        self.spark.conf.set("spark.sql.cbo.enabled", "true")
-        self.spark.conf.set("spark.sql.cbo.joinReorder.enabled", "true")
-
     def columns(self, name: str) -> list[tuple[str, str]]:
         return self.tables[name][1]
-
-
-def count_statistics(df: DataFrame) -> DataFrame:
-    """column, distinct, nulls: exact statistics of every column of a table, in one pass per column group."""
-    parts = [F.struct(F.lit(c).alias("column"), F.countDistinct(c).alias("distinct"), F.sum(F.col(c).isNull().cast("long")).alias("nulls")).alias(f"c{i}") for i, c in enumerate(df.columns)]
-    return df.agg(*parts).select(F.inline(F.array(*(F.col(f"c{i}") for i in range(len(parts))))))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 BOOLEAN, BIGINT, DOUBLE, VARCHAR, DATE, INTERVAL, NULL, TIMESTAMP = "BOOLEAN", "BIGINT", "DOUBLE", "VARCHAR", "DATE", "INTERVAL", "NULL", "TIMESTAMP"
 NUMERIC = (BIGINT, DOUBLE)
 SPARK = {BOOLEAN: "BOOLEAN", BIGINT: "BIGINT", DOUBLE: "DOUBLE", VARCHAR: "STRING", DATE: "DATE", TIMESTAMP: "TIMESTAMP_NTZ", NULL: "STRING"}
@@ -33,6 +35,10 @@ def text(s: str) -> str:
     return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+#: Expressions whose text is longer than this are bound to a name instead of being repeated.
+LONG_TEXT = 300
+
+
 def let(name: str, value: str, body: str) -> str:
     """``body`` with ``name`` bound to ``value``, which is evaluated once."""
     return f"element_at(transform(array({value}), {name} -> {body}), 1)"
@@ -54,11 +60,16 @@ def double_text(x: str) -> str:
     return let("s_", shortest, body)
 
 
+def repeated(name: str, value: str, body: str) -> str:
+    """``body`` with ``value`` for ``name``: written out where it is short, so the whole stays in generated code."""
+    return let(name, value, body) if len(value) > LONG_TEXT else re.sub(rf"\b{name}(?!\w)", lambda _: value, body)
+
+
 def checked(x: str, kind: str, pattern: str, to: str) -> str:
     """Text -> type, strictly by a pattern, with Postgres' message."""
     value = f"CASE WHEN trim(v_) RLIKE {text(pattern)} THEN try_cast(trim(v_) AS {to}) END"
     fail = f"""CAST(raise_error(concat('invalid input syntax for type {kind}: "', v_, '"')) AS {to})"""
-    return let("v_", x, f"CASE WHEN v_ IS NULL THEN NULL ELSE coalesce({value}, {fail}) END")
+    return repeated("v_", x, f"CASE WHEN v_ IS NULL THEN NULL ELSE coalesce({value}, {fail}) END")
 
 
 def cast(x: str, a: str, b: str) -> str:
@@ -74,7 +85,7 @@ def cast(x: str, a: str, b: str) -> str:
             return checked(x, "double", r"^[+-]?(([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?|(?i:inf|infinity|nan))$", "DOUBLE")
         if b == DATE:
             return checked(x, "date", r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$", "DATE")
-        words = let("b_", f"lower(trim({x}))", """CASE WHEN b_ IS NULL THEN NULL WHEN b_ IN ('t', 'true', 'yes', 'y', 'on', '1') THEN TRUE
+        words = repeated("b_", f"lower(trim({x}))", """CASE WHEN b_ IS NULL THEN NULL WHEN b_ IN ('t', 'true', 'yes', 'y', 'on', '1') THEN TRUE
             WHEN b_ IN ('f', 'false', 'no', 'n', 'off', '0') THEN FALSE ELSE CAST(raise_error(concat('invalid input syntax for type boolean: "', b_, '"')) AS BOOLEAN) END""")
         return words
     if b == VARCHAR:
@@ -84,3 +95,12 @@ def cast(x: str, a: str, b: str) -> str:
     if (a, b) == (BIGINT, BOOLEAN):
         return f"({x} <> 0L)"
     return f"CAST({x} AS {SPARK[b]})"
+
+
+def compensated(x: str, name: str, distinct: bool) -> str:
+    """Sum or average of a group's doubles with the lost low parts kept apart and added at the end. Where the sum isn't finite
+    the plain one is right already."""
+    values = f"collect_{'set' if distinct else 'list'}({x})"
+    step = """(a, v) -> named_struct('s', a.s + v, 'c', a.c + CASE WHEN abs(a.s) >= abs(v) THEN (a.s - (a.s + v)) + v ELSE (v - (a.s + v)) + a.s END)"""
+    total = f"aggregate({values}, named_struct('s', 0D, 'c', 0D), {step}, a -> CASE WHEN isnan(a.c) OR abs(a.s) = double('Infinity') THEN a.s ELSE a.s + a.c END)"
+    return f"(CASE WHEN size({values}) > 0 THEN {total}{f' / size({values})' if name == 'avg' else ''} END)"

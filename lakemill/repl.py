@@ -15,7 +15,8 @@ HELP = r"""\load NAME FILE   load a CSV, .tbl or Parquet file
 \qN               run TPC-H query N (1, 3, 6, 8, 13, 22)
 \d [TABLE]        list tables, or the columns of one
 \ast SQL          canonical text of the syntax tree
-\plan SQL         the bound query as Spark SQL
+\plan SQL         outline of the bound query
+\sql SQL          the bound query as Spark SQL
 \explain SQL      Spark's physical plan
 \timing           show run times or not
 \hashjoin         allow hash joins or not
@@ -72,6 +73,8 @@ class Shell:
         if word == "ast":
             return str(parse_query(rest))
         if word == "plan":
+            return self.engine.outline(rest)
+        if word == "sql":
             return self.engine.bind(rest).sql
         if word == "explain":
             return self.engine.explain(rest)

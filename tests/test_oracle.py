@@ -7,6 +7,7 @@ import pytest
 
 import __spark_entry__ as entry
 from lakemill.engine import Engine
+from lakemill.operators import cases
 from lakemill.operators import queries as Q
 
 from .conftest import SF
@@ -24,10 +25,10 @@ def plain(rows):
     return sorted(tuple("NULL" if v is None else f"{v:.9g}" if isinstance(v, float) else str(v) for v in r) for r in rows)
 
 
-@pytest.mark.parametrize("name", Q.QUERIES)
+@pytest.mark.parametrize("name", [*Q.QUERIES, *cases.cases()])
 def test_query(spark, duck, name):
-    df = Q.queries()[name](spark, SF)
-    want = duck.sql(Q.oracle_sql()[name])
+    df = entry.queries()[name](spark, SF)
+    want = duck.sql(entry.oracle_sql()[name])
     order = sorted(range(len(df.columns)), key=df.columns.__getitem__)
     other = sorted(range(len(want.columns)), key=want.columns.__getitem__)
     assert sorted(df.columns) == sorted(want.columns)

@@ -95,7 +95,7 @@ def test_simple_query(address):
     assert c.kinds(c.query(" ; ")) == "IZ"
 
 
-@pytest.mark.parametrize(("sql", "code"), [("select frm frm people", "42601"), ("select * from nope", "42P01"), ("select nope from people", "42703"), ("select foo(1)", "42883"), ("select name, count(*) from people", "42803"), ("select 1 / 0", "22012"), ("select 9223372036854775807 + id from people", "22003"), ("select cast('x' as integer)", "22P02")])
+@pytest.mark.parametrize(("sql", "code"), [("select id id id from people", "42601"), ("select id from persons", "42P01"), ("select age from people", "42703"), ("select median(score) from people", "42883"), ("select id, max(score) from people", "42803"), ("select 7 % (id - id) from people", "22012"), ("select id * 9000000000000000000 from people", "22003"), ("select cast(name as bigint) from people", "22P02")])
 def test_errors(address, sql, code):
     c = Client(address)
     got = c.query(sql)
@@ -149,6 +149,15 @@ def test_extended_errors_skip_to_sync(address, step, code):
     assert state(got) == code and c.kinds(got).endswith("EZ")
 
 
+def test_a_result_of_many_rows_comes_in_parts(address, spark):
+    from lakemill.server import BATCH, Session
+
+    engine = Engine(spark)
+    engine.register("many", engine.spark.range(2500).toDF("id"))
+    parts = [*Session(engine).handle(b"Q", b"select id from many\0")]
+    assert len(parts) == 1 + -(-2500 // BATCH) + 2 and parts[0][:1] == b"T" and all(p[:1] == b"D" for p in parts[1:-2]) and parts[-2][5:-1] == b"SELECT 2500"
+
+
 def test_concurrent_clients(address):
     found, many = [], [threading.Thread(target=lambda i=i: found.append(rows(Client(address).query(f"select count(*) from emp where id > {i}")))) for i in range(6)]
     for t in many:
@@ -164,7 +173,8 @@ def test_shell(spark, tmp_path):
     assert shell.execute("select id, name from dept where id < 3 order by id;") == " id |     name\n----+-------------\n  1 | Engineering\n  2 | Sales\n(2 rows)"
     assert shell.execute("select nope\nfrom dept") == 'ERROR: column "nope" does not exist\nselect nope\n       ^'
     assert shell.execute("\\ast select a  from b") == "SELECT a FROM b"
-    assert "t1.`id`" in shell.execute("\\plan select id from dept")
+    assert shell.execute("\\plan select id from dept where budget > 5") == "Project id BIGINT\n  Filter budget > 5\n    Scan dept"
+    assert "t1.`id`" in shell.execute("\\sql select id from dept")
     assert "Physical Plan" in shell.execute("\\explain select id from dept")
     assert shell.execute("\\timing") == "timing is on" and shell.execute("\\hashjoin") == "hashjoin is off"
     assert "Time:" in shell.execute("select 1")

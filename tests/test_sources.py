@@ -89,6 +89,16 @@ def test_nested_columns_are_refused(spark):
         engine.register("n", engine.spark.sql("select array(1) as x"))
 
 
+@pytest.mark.parametrize("scale", [0.0002, 0.001, 0.002, 0.005, 0.01])
+def test_parts_have_four_different_suppliers(spark, scale):
+    engine = Engine(spark)
+    engine.tpch(scale)
+    suppliers = engine.rows("select count(*) from supplier")[0][0]
+    assert engine.rows("select count(*), min(n), max(n) from (select ps_partkey, count(distinct ps_suppkey) as n from partsupp group by ps_partkey) x") == [(round(200_000 * scale), min(4, suppliers), min(4, suppliers))]
+    assert engine.rows("select count(*) from partsupp")[0][0] == round(200_000 * scale) * min(4, suppliers)
+    assert engine.rows("select count(*) from partsupp where ps_suppkey not in (select s_suppkey from supplier)") == [(0,)]
+
+
 def test_tpch(spark):
     engine = Engine(spark)
     engine.tpch(0.001)
