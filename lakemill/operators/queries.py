@@ -79,7 +79,7 @@ QUERIES: dict[str, tuple[str, str | None]] = {
     "select_star": ("select * from nation", None),
     "qualified_star": ("select n.*, r.r_name from nation n join region r on n.n_regionkey = r.r_regionkey", None),
     "filter_and_or_not": ("select o_orderkey from orders where (o_orderstatus = 'F' or o_totalprice > 300000) and not o_orderpriority = '5-LOW'", None),
-    "comparisons": ("select o_orderkey, o_totalprice > 200000 as big, o_orderstatus <> 'O' as not_o, o_custkey <= 700 as low, o_orderkey != 5 as not_5 from orders where o_orderkey < 500", None),
+    "comparisons": ("select o_orderkey, o_totalprice > 200000 as big, o_orderstatus <> 'O' as not_o, o_custkey <= 700 as low, o_orderkey != 5 as not_5 from orders", None),
     "is_null": ("select c_custkey, case when c_custkey % 3 = 0 then null else c_name end is null as gone, c_name is not null as there from customer", None),
     "between_in_like": ("select p_partkey, p_name from part where p_size between 10 and 20 and p_type in ('ECONOMY', 'SMALL') and p_name not like '%1%'", None),
     "like_escape": (r"select p_partkey from part where p_name || '_x%' like '%\_x\%' and p_name like '_a%'", r"select p_partkey from part where p_name || '_x%' like '%\_x\%' escape '\' and p_name like '_a%'"),
@@ -126,7 +126,7 @@ QUERIES: dict[str, tuple[str, str | None]] = {
     "cross_join": ("select r_name, n_name from region cross join nation", None),
     "theta_join": ("select a.n_nationkey as a, b.n_nationkey as b from nation a join nation b on a.n_nationkey < b.n_nationkey and a.n_regionkey >= b.n_regionkey", None),
     "self_join": ("select a.n_name as a, b.n_name as b from nation a, nation b where a.n_regionkey = b.n_regionkey and a.n_nationkey < b.n_nationkey", None),
-    "join_coerced_keys": ("select o_orderkey from orders join customer on o_custkey = c_custkey + 0.0 where c_custkey < 100", None),
+    "join_coerced_keys": ("select o_orderkey from orders join customer on o_custkey = c_custkey + 0.0", None),
     "null_keys_never_match": ("select a.n_nationkey as a, b.n_nationkey as b from (select case when n_nationkey > 10 then n_regionkey end as k, n_nationkey from nation) a join (select case when n_nationkey > 12 then n_regionkey end as k, n_nationkey from nation) b on a.k = b.k", None),
     "semi_exists": ("select c_custkey from customer c where exists (select 1 from orders o where o.o_custkey = c.c_custkey and o.o_totalprice > 300000)", None),
     "anti_not_exists": ("select c_custkey from customer c where not exists (select 1 from orders o where o.o_custkey = c.c_custkey and o.o_orderpriority = '1-URGENT')", None),
@@ -158,13 +158,13 @@ QUERIES: dict[str, tuple[str, str | None]] = {
     "agg_over_agg": ("select max(n) as most, min(n) as least, count(*) as customers from (select o_custkey, count(*) as n from orders group by o_custkey) x", None),
     "left_join_count_zero": ("select c_custkey, count(o_orderkey) as n from customer left join orders on o_custkey = c_custkey and o_orderpriority = '1-URGENT' group by c_custkey", None),
     "order_nulls": (
-        "select n_nationkey, case when n_nationkey % 3 = 0 then null else n_name end as k from nation order by k desc, n_nationkey limit 12",
-        "select n_nationkey, case when n_nationkey % 3 = 0 then null else n_name end as k from nation order by k desc nulls first, n_nationkey limit 12",
+        "select n_nationkey, case when n_nationkey % 3 = 0 then null else n_name end as k from nation order by k desc, n_nationkey",
+        "select n_nationkey, case when n_nationkey % 3 = 0 then null else n_name end as k from nation order by k desc nulls first, n_nationkey",
     ),
-    "order_nulls_first": ("select n_nationkey, case when n_nationkey % 3 = 0 then null else n_name end as k from nation order by k nulls first, n_nationkey desc limit 12", None),
-    "order_hidden_key": ("select c_name from customer order by c_acctbal desc, c_custkey limit 20", None),
-    "order_position": ("select c_nationkey, count(*) as n from customer group by c_nationkey order by 2 desc, 1 limit 7", None),
-    "order_by_aggregate": ("select c_nationkey from customer group by c_nationkey order by sum(c_acctbal) desc limit 5", None),
+    "order_nulls_first": ("select n_nationkey, case when n_nationkey % 3 = 0 then null else n_name end as k from nation order by k nulls first, n_nationkey desc", None),
+    "order_hidden_key": ("select c_name from customer order by c_acctbal desc, c_custkey", None),
+    "order_position": ("select c_nationkey, count(*) as n from customer group by c_nationkey order by 2 desc, 1", None),
+    "order_by_aggregate": ("select c_nationkey from customer group by c_nationkey order by sum(c_acctbal) desc", None),
     "limit_offset": ("select o_orderkey from orders order by o_orderkey offset 10 limit 15", "select o_orderkey from orders order by o_orderkey limit 15 offset 10"),
     "offset_alone": ("select n_nationkey from nation order by n_nationkey offset 20", None),
     "distinct": ("select distinct o_orderstatus, o_orderpriority from orders", None),
@@ -174,7 +174,22 @@ QUERIES: dict[str, tuple[str, str | None]] = {
     "text_scan": ("select lang, count(*) as n, sum(length(text)) as chars, max(n_chars) as longest from documents group by lang", "select lang, count(*) as n, sum(length(text))::bigint as chars, max(n_chars) as longest from documents group by lang"),
     "text_join": ("select source, quality, count(*) as n from documents d join labels l on d.doc_id = l.doc_id where toxic = 0 group by source, quality", None),
     "events_by_day": ("select event_type, cast(ts as date) as day, count(*) as n, round(sum(value), 4) as v from events group by event_type, cast(ts as date)", None),
-    "substring_prefix_join": ("select count(*) as n from pages p join benchmark b on substring(p.html from 1 for 3) = substring(b.text from 1 for 3)", None),
+    "substring_prefix_join": ("select count(*) as n, min(s_suppkey) as least, max(c_custkey) as most from customer join supplier on substring(c_name from 16 for 3) = substring(s_name from 16 for 3) and substring(c_name, -2, 5) <> ''", "select count(*) as n, min(s_suppkey) as least, max(c_custkey) as most from customer join supplier on substring(c_name, 16, 3) = substring(s_name, 16, 3)"),
+    "group_key_subquery": ("select o_custkey, (select c_name from customer where c_custkey = o_custkey) as name, count(*) as n from orders group by o_custkey", None),
+    "group_key_exists": ("select o_orderstatus, o_custkey, max(o_totalprice) as most from orders group by o_orderstatus, o_custkey having exists (select 1 from customer where c_custkey = o_custkey and c_acctbal > 5000)", None),
+    "theta_right_join": ("select a.n_nationkey as a, b.n_nationkey as b from (select n_nationkey from nation where n_regionkey < 2) a right join nation b on a.n_nationkey > b.n_nationkey", None),
+    "theta_full_join": ("select a.n_nationkey as a, b.n_nationkey as b from (select * from nation where n_nationkey > 5) a full join (select * from nation where n_nationkey < 12) b on a.n_nationkey + 3 < b.n_nationkey", None),
+    "in_subquery_types": ("select o_orderkey from orders where o_custkey in (select c_custkey + 0.0 from customer where c_acctbal < 0)", None),
+    "distinct_ordered": ("select distinct o_orderpriority, o_orderstatus from orders order by o_orderstatus desc, o_orderpriority", None),
+    "text_to_date": (
+        "select o_orderkey, cast(' ' || cast(cast(o_orderdate as date) as varchar) as date) as d, cast(substring(cast(cast(o_orderdate as date) as varchar) from 1 for 7) || '-01' as date) as first from orders",
+        "select o_orderkey, cast(o_orderdate as date) as d, cast(date_trunc('month', o_orderdate) as date) as first from orders",
+    ),
+    "text_to_boolean": ("select o_orderkey, cast(case o_orderstatus when 'F' then 'YES' when 'O' then ' off ' else 't' end as boolean) as b from orders", "select o_orderkey, o_orderstatus <> 'O' as b from orders"),
+    "text_to_number": (
+        "select o_orderkey, cast(cast(o_totalprice as varchar) as double) as x, cast('+' || cast(o_orderkey as varchar) as bigint) as k, cast('-' || cast(o_custkey as varchar) || 'e-2' as double) as e from orders",
+        "select o_orderkey, o_totalprice as x, o_orderkey as k, cast('-' || o_custkey || 'e-2' as double) as e from orders",
+    ),
     "turns": ("select role, count(*) as n, count(distinct conv_id) as convs, max(turn) as most from conversations group by role", None),
 }
 
@@ -185,7 +200,7 @@ NARROW = {
     "arithmetic": "l_linenumber", "interval_pairs": "n_nationkey", "theta_join": "a b", "null_keys_never_match": "a b", "in_select_list": "n_nationkey",
     "group_by_null": "k", "sum_avg_distinct": "lo", "order_nulls": "n_nationkey", "order_nulls_first": "n_nationkey",
     "order_position": "c_nationkey", "order_by_aggregate": "c_nationkey", "offset_alone": "n_nationkey", "distinct_nulls": "k",
-    "three_valued_logic": "n_nationkey", "text_join": "quality", "min_max_text_date": "n_regionkey",
+    "three_valued_logic": "n_nationkey", "text_join": "quality", "theta_right_join": "a b", "theta_full_join": "a b", "min_max_text_date": "n_regionkey",
 }
 
 _engines: dict[tuple[int, str], Engine] = {}
