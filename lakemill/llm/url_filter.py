@@ -12,8 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: 65,536 blocks of 32 bytes: 2 MB at most.
-MAX_BLOCKS = 1 << 16
+#: 524,288 blocks of 32 bytes, 16 MB, at most: enough for eight million listed URLs at 16 a block.
+MAX_BLOCKS = 1 << 19
 KEYS_PER_BLOCK = 16
 #: (verdict, host, path prefix), fixed values of the query.
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
