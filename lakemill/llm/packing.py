@@ -14,7 +14,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -32,20 +32,26 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 def encoded(docs: DataFrame, tokenizer_path: str, size: int = SIZE, end_id: int = END_ID) -> DataFrame:
     """One row per piece: full pieces of ``size`` ids and a rest."""
 
-    def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode, end = encoder(tokenizer_path), end_id.to_bytes(4, "little")
+    def pieces(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        encode, end = encoder(tokenizer_path), np.array([end_id], "<u4")
         for b in batches:
-            rows = []
-            for doc_id, ids in zip(b["doc_id"], encode.ids(list(b["text"])), strict=True):
-                ids += end
-                n = len(ids) // 4
-                for at in range(0, n, size):
-                    part = ids[4 * at : 4 * (at + size)]
-                    rows.append((doc_id, at, len(part) // 4, zlib.crc32(part), n))
-            out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
-            yield out.astype({"doc_id": "Int64"})
-
-    return docs.select(F.col("doc_id").cast("long"), whole_text().alias("text")).mapInPandas(pieces, PIECES)
+            row, doc_ids = 0, b.column(0)
+            for ids, at in encode.slices(b.column(1)):
+                which, start, length, crc, total = [], [], [], [], []
+                for i, (lo, hi) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
+                    own, n = np.concatenate((ids[lo:hi].astype("<u4"), end)), hi - lo + 1
+                    for k in range(0, n, size):
+                        which.append(row + i)
+                        start.append(k)
+                        length.append(min(size, n - k))
+                        crc.append(zlib.crc32(own[k : k + size]))
+                        total.append(n)
+                row += len(at) - 1
+                yield pa.RecordBatch.from_arrays([doc_ids.take(pa.array(which, pa.int64())), *(pa.array(x, pa.int64()) for x in (start, length, crc, total))], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+
+    return docs.select(F.col("doc_id").cast("long"), whole_text().alias("text")).mapInArrow(pieces, PIECES)
 
 
 def shortest_pack_first(histogram: dict[int, int], size: int = SIZE) -> list[tuple[int, tuple[int, ...]]]:
