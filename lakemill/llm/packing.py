@@ -2,7 +2,7 @@
 
 Documents are encoded once into pieces of at most ``size`` ids; from then on only lengths move. The histogram has at most
 ``size`` rows. The driver packs it: lengths longest first, each into the pack that is shortest so far and has room,
-where a pack stands for a pattern and its count. Pieces get a rank within their length without any window over a whole
+where a pack stands for a pattern and its count; equal lengths for which no pack has room fill new packs in turn. Pieces get a rank within their length without any window over a whole
 length (hashed blocks, counted first), and patterns are joined back by rank.
 
 Edge cases: null text is empty and still has its end id; repeated rows are packed as documents of their own; empty table:
@@ -54,36 +54,46 @@ def encoded(docs: DataFrame, tokenizer_path: str, size: int = SIZE, end_id: int
     return docs.select(F.col("doc_id").cast("long"), whole_text().alias("text")).mapInArrow(pieces, PIECES)
 
 
-def shortest_pack_first(histogram: dict[int, int], size: int = SIZE) -> list[tuple[int, tuple[int, ...]]]:
-    """Patterns as (count, lengths). ``room[r]`` holds open patterns with r ids left; the most room is used first."""
-    room: dict[int, list[tuple[int, tuple[int, ...]]]] = {}
+def shortest_pack_first(histogram: dict[int, int], size: int = SIZE) -> list[tuple[int, tuple[tuple[int, int], ...]]]:
+    """Patterns as (count, ((length, copies), ...)). ``room[r]`` holds open patterns with r ids left; the most room is used
+    first. Where no open pack has room, packs are opened and filled with copies one after the other."""
+    room: dict[int, list[tuple[int, tuple[tuple[int, int], ...]]]] = {}
+
+    def put(count: int, pattern: tuple, left: int, length: int, copies: int) -> None:
+        if count:
+            if pattern and pattern[-1][0] == length:
+                pattern, copies = pattern[:-1], pattern[-1][1] + copies
+            room.setdefault(left, []).append((count, (*pattern, (length, copies))))
+
     for length in sorted(histogram, reverse=True):
-        left = histogram[length]
+        left, most_copies = histogram[length], size // length
         while left:
             most = max((r for r in room if r >= length), default=None)
             if most is None:
-                count, lengths, most = left, (), size
-            else:
-                count, lengths = room[most].pop()
-                if not room[most]:
-                    del room[most]
+                full, rest = divmod(left, most_copies)
+                put(full, (), size - most_copies * length, length, most_copies)
+                put(int(rest > 0), (), size - rest * length, length, rest)
+                break
+            count, pattern = room[most].pop()
+            if not room[most]:
+                del room[most]
             used = min(count, left)
             left -= used
             if count > used:
-                room.setdefault(most, []).append((count - used, lengths))
-            room.setdefault(most - length, []).append((used, (*lengths, length)))
+                room.setdefault(most, []).append((count - used, pattern))
+            put(used, pattern, most - length, length, 1)
     return [p for r in sorted(room) for p in room[r]]
 
 
-def slots(patterns: list[tuple[int, tuple[int, ...]]]) -> list[tuple[int, int, int, int, int]]:
-    """(length, first rank, end rank, sequence of the first rank, offset): where the pieces of a length go, by rank."""
+def slots(patterns: list[tuple[int, tuple[tuple[int, int], ...]]]) -> list[tuple[int, int, int, int, int, int]]:
+    """(length, first rank, end rank, copies, sequence of the first rank, offset): where the pieces of a length go, by rank."""
     rows, taken, sequence = [], {}, 0
-    for count, lengths in patterns:
+    for count, pattern in patterns:
         offset = 0
-        for length in lengths:
+        for length, copies in pattern:
             at = taken.get(length, 0)
-            rows.append((length, at, at + count, sequence, offset))
-            taken[length], offset = at + count, offset + length
+            rows.append((length, at, at + count * copies, copies, sequence, offset))
+            taken[length], offset = at + count * copies, offset + length * copies
         sequence += count
     return rows
 
@@ -93,20 +103,24 @@ def packed(pieces: DataFrame, size: int = SIZE) -> DataFrame:
     spark = pieces.sparkSession
     counted = pieces.groupBy("length").count().collect()  # at most ``size`` rows
     plan = slots(shortest_pack_first({r["length"]: r["count"] for r in counted}, size))
-    schema = "length long, first long, end long, sequence long, offset long"
+    schema = "length long, first long, end long, copies long, sequence long, base long"
     blocks = max(1, sum(r["count"] for r in counted) // BLOCK)
     block = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(blocks))
     keyed = pieces.withColumn("block", block)
-    sizes = keyed.groupBy("length", "block").agg(F.count(F.lit(1)).alias("n"))
-    before = W.partitionBy("length").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
-    sizes = sizes.select("length", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    # Blocks are summed up in groups, so no task sees more of a length than its groups or a group's blocks.
+    sizes = keyed.groupBy("length", "block").agg(F.count(F.lit(1)).alias("n")).withColumn("group", F.floor(F.col("block") / BLOCK))
+    sizes = written(sizes, "block_sizes")
+    before = lambda n, *by: F.coalesce(F.sum(n).over(W.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    groups = sizes.groupBy("length", "group").agg(F.sum("n").alias("n")).select("length", "group", before("n", "length", "group").alias("groups_before"))
+    sizes = sizes.select("length", "group", "block", before("n", "length", "group", "block").alias("before")).join(groups, ["length", "group"])
     inside = W.partitionBy("length", "block").orderBy("doc_id", "start", "ids_crc32")
     ranked = keyed.withColumn("rank", F.row_number().over(inside) - 1).join(sizes, ["length", "block"])
-    ranked = ranked.withColumn("rank", F.col("rank") + F.col("before")).drop("block", "before")
+    ranked = ranked.withColumn("rank", F.col("rank") + F.col("before") + F.col("groups_before"))
     frame = small(written(spark.createDataFrame(plan, schema), "slots"))
     fits = (F.col("p.length") == F.col("s.length")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("end"))
-    out = ranked.alias("p").join(frame.alias("s"), fits)
-    return out.select("doc_id", "start", "p.length", "ids_crc32", "doc_tokens", (F.col("sequence") + F.col("rank") - F.col("first")).alias("sequence_id"), "offset")
+    at = F.col("rank") - F.col("first")
+    out = ranked.alias("p").join(frame.alias("s"), fits).withColumns({"sequence_id": F.col("sequence") + F.floor(at / F.col("copies")), "offset": F.col("base") + at % F.col("copies") * F.col("p.length")})
+    return out.select("doc_id", "start", "p.length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
 def packing(docs: DataFrame, tokenizer_path: str, size: int = SIZE, end_id: int = END_ID) -> DataFrame:
