@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small, written
+from .common import ROW, rows_of, small, with_row, written
 
 SEED = "mix-1"
 #: Inverting sums up to this many terms; the tail beyond is below any double for rates up to MAX_RATE.
@@ -70,25 +70,26 @@ def rates(docs: DataFrame, targets: dict[str, float], rest: float = REST) -> Dat
 
 
 def replicated(docs: DataFrame, targets: dict[str, float] = TARGETS, seed: str = SEED) -> DataFrame:
-    """``docs`` plus __rate, __copies, __copy: a row per copy, not yet shuffled."""
-    found = small(written(rates(docs, targets), "rates")).withColumnRenamed("source", "__source")
-    df = docs.join(found, F.col("source").eqNullSafe(F.col("__source")), "left").withColumnRenamed("rate", "__rate").drop("__source")
-    df = df.withColumn("__copies", copies(seed, F.col("__rate"))).where("__copies > 0")
-    return df.withColumn("__copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__copies") - 1)))
+    """doc_id, source, rate, copies, copy and the row itself: a row per copy, not yet shuffled."""
+    found = small(written(rates(docs, targets).withColumnRenamed("source", "of"), "rates"))
+    df = with_row(docs, "doc_id", "source").join(found, F.col("source").eqNullSafe(F.col("of")), "left").drop("of")
+    df = df.withColumn("copies", copies(seed, F.col("rate"))).where("copies > 0")
+    return df.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
 
 
 def shuffled(df: DataFrame, seed: str = SEED) -> DataFrame:
-    """Deal the copies by digest and sort within each partition: a global shuffle that can be repeated."""
-    place = df.withColumn("__place", uniform(seed + "-shuffle", F.col("doc_id"), F.col("__copy")))
-    return place.repartitionByRange("__place").sortWithinPartitions("__place")
+    """Deal the copies by a digest and sort each partition by it: a global shuffle that can be repeated. Dealing by hash reads
+    the input once; by range it would be sampled first."""
+    place = df.withColumn("place", uniform(seed + "-shuffle", F.col("doc_id"), F.col("copy")))
+    return place.repartition("place").sortWithinPartitions("place")
 
 
 def mixing(docs: DataFrame, targets: dict[str, float] = TARGETS, seed: str = SEED) -> DataFrame:
     """doc_id, source, copy, copies, rate, place: one row per copy in shuffled order."""
-    df = shuffled(replicated(docs.select("doc_id", "source"), targets, seed), seed)
-    return df.select("doc_id", "source", F.col("__copy").alias("copy"), F.col("__copies").alias("copies"), F.col("__rate").alias("rate"), F.col("__place").alias("place"))
+    df = shuffled(replicated(docs.select("doc_id", "source"), targets, seed).drop(ROW), seed)
+    return df.select("doc_id", "source", "copy", "copies", "rate", "place")
 
 
 def mixed_documents(docs: DataFrame, targets: dict[str, float] = TARGETS, seed: str = SEED) -> DataFrame:
     """The copies as rows with the columns of ``docs``, dealt by digest."""
-    return shuffled(replicated(docs, targets, seed), seed).select(*docs.columns)
+    return rows_of(shuffled(replicated(docs, targets, seed), seed))
