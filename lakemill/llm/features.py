@@ -13,6 +13,8 @@ from .common import small, written
 TERMS = 4096
 #: The last terms of a style vector count bytes in repeated grams and repeated lines.
 EXTRA = 2
+#: Rows of a sample: 16 KB of counts each go to the driver.
+SAMPLE = 8000
 
 
 def raw(text: str | None) -> np.ndarray:
@@ -81,28 +83,32 @@ def inverse_frequency(counts: np.ndarray) -> np.ndarray:
 
 def bounded_sample(rows: DataFrame, docs: DataFrame, per_label: int) -> DataFrame:
     """(label, text) of at most ``per_label`` rows of each label, those with the least digest of doc_id. rows: doc_id, label.
+    With many labels fewer rows of each are taken, but one at least, so that about ``SAMPLE`` rows are in it at most.
 
     Only ids are ranked, and of a frequent label only those whose digest can be among the least: about twice as many rows
     as are kept. The ids chosen are written and broadcast if they are few, so that no text is shuffled.
     """
-    counts = small(written(rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")), "label_counts")).withColumnRenamed("label", "counted")
+    counts = written(rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")), "label_counts")
+    per_label = max(1, min(per_label, SAMPLE // max(1, counts.count())))
+    counts = small(counts).withColumnRenamed("label", "counted")
     digest = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 52))
-    low = rows.withColumn("digest", digest).join(counts, F.col("label") == F.col("counted")).where(F.col("digest").cast("double") * F.col("n") < (2 * per_label + 50) * float(1 << 52))
+    low = rows.withColumn("digest", digest).join(counts, F.col("label") == F.col("counted")).where(F.col("digest").cast("double") * F.col("n") < (2 * per_label + 50) * float(1 << 52)).dropDuplicates(["label", "doc_id"])
     best = W.partitionBy("label").orderBy("digest", "doc_id")
     ids = low.withColumn("place", F.row_number().over(best)).where(F.col("place") <= per_label).select(F.col("doc_id").alias("sample_id"), "label")
     ids = small(written(ids, "sample_ids"))
-    return docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("sample_id")).select("label", "text")
+    found = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("sample_id")).dropDuplicates(["label", "doc_id"])
+    return found.select("label", "text")
 
 
-def collected(sample: DataFrame, features, limit: int):
-    """(labels, counts) of a bounded sample, at most ``limit`` rows; counts are made on the executors."""
+def collected(sample: DataFrame, features):
+    """(labels, counts) of a bounded sample; counts are made on the executors."""
     import pandas as pd
 
     def count(batches):
         for b in batches:
             yield pd.DataFrame({"label": b["label"].astype(str), "counts": [features(t).astype(np.float32).tobytes() for t in b["text"]]})
 
-    rows = sample.mapInPandas(count, "label string, counts binary").limit(limit).toPandas()
+    rows = sample.mapInPandas(count, "label string, counts binary").toPandas()
     rows = rows.sort_values(["label", "counts"], kind="stable")
     if not len(rows):
         return [], np.zeros((0, TERMS), np.float32)

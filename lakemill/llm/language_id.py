@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from .common import held_out
 from .features import bounded_sample, collected, inverse_frequency, letters, weighted
 
-#: Texts that are learned from, of each language; and languages.
-PER_LANGUAGE, LANGUAGES = 400, 400
+#: Texts that are learned from, of each language at most.
+PER_LANGUAGE = 400
 CENTROIDS, ROUNDS = 4, 12
 #: Share of learned texts, of 40 letters or more, that may be further from their centroid than the rejection distance.
 REJECTED = 0.002
@@ -60,7 +60,7 @@ def has_letter(text: str | None) -> bool:
 def language_id(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
     """doc_id, held_out, lang_pred, score, rejected: one row per input row."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()).select("doc_id", F.col("lang").alias("label"))
-    found = collected(bounded_sample(rows, docs, per_language), letters, per_language * LANGUAGES)
+    found = collected(bounded_sample(rows, docs, per_language), letters)
     model = docs.sparkSession.sparkContext.broadcast(fit(*found) if found[0] else None)
 
     def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -52,7 +52,7 @@ def votes(model: dict, counts: np.ndarray, neighbours: int = NEIGHBOURS) -> np.n
 def quality_classifier(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted: one row per input row."""
     rows = labels.where(F.col("quality").isin(0, 1) & ~held_out()).select("doc_id", F.col("quality").alias("label")).distinct()
-    found = collected(bounded_sample(rows, docs, per_label), style, 4 * per_label)
+    found = collected(bounded_sample(rows, docs, per_label), style)
     model = docs.sparkSession.sparkContext.broadcast(fit(*found) if len(set(found[0])) > 1 else None)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
