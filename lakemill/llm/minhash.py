@@ -17,65 +17,56 @@ each of its texts; a null doc_id never represents a component that has an id.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
-import pandas as pd
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import rows_of, whole_text, with_row, written
 from .graph import components
+from .words import mix, slices, words
 
 WORDS = 5
 PERCENT = 75
 BANDS, ROWS = 48, 5
 #: Bits of a set's bitmap, a power of two.
 BITS = 1024
-#: Cached word hashes per Python worker.
-CACHED_WORDS = 1_000_000
+#: Rows whose sets a worker holds together.
+PART = 256
 #: Nodes from here on stand for documents without an id.
 NO_ID = 1 << 62
 SIGNED = "doc_id long, n_shingles long, set_key string, bands array<long>"
 
 
-def mix(x):
-    """Finalizer of splitmix64, over unsigned 64-bit arrays."""
-    import numpy as np
-
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-class Shingler(dict):
-    """text -> its distinct shingles as sorted unsigned 64-bit hashes. The dictionary holds word hashes."""
+class Shingler:
+    """Texts -> their distinct shingles as sorted unsigned 64-bit hashes."""
 
     def __init__(self, words: int = WORDS) -> None:
-        import numpy as np
-
         self.n = words
         self.weights = mix(np.arange(1, words + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) >= CACHED_WORDS:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-    def __call__(self, text: str | None):
-        import numpy as np
-
-        words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-        if not words:
-            return np.empty(0, dtype=np.uint64)
-        h = np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
-        m = min(self.n, len(h))
+    def sets(self, column) -> Iterator[np.ndarray]:
+        """One array per row of an Arrow string column without nulls."""
+        for data, offsets in slices(column):
+            _, _, h, first = words(data, offsets)
+            out = self.hashed(h, self.n) if len(h) >= self.n else h[:0]
+            for lo, hi in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+                few = 0 < hi - lo < self.n
+                found = np.sort(self.hashed(h[lo:hi], hi - lo) if few else out[lo : max(lo, hi - self.n + 1)])
+                yield found[np.concatenate(([True], found[1:] != found[:-1]))] if len(found) else found
+
+    def hashed(self, h: np.ndarray, m: int) -> np.ndarray:
+        """Hashes of all runs of m words."""
         out = np.full(len(h) - m + 1, m, dtype=np.uint64)
         for j in range(m):
             out += h[j : len(h) - m + 1 + j] * self.weights[j]
-        out = np.sort(mix(out))
-        return out[np.concatenate(([True], out[1:] != out[:-1]))]
+        return mix(out)
+
+    def __call__(self, text: str | None) -> np.ndarray:
+        import pyarrow as pa
+
+        return next(self.sets(pa.array([text or ""])))
 
 
 class Circulant:
@@ -84,8 +75,6 @@ class Circulant:
     WIDTH = 1024
 
     def __init__(self, bands: int = BANDS, rows: int = ROWS) -> None:
-        import numpy as np
-
         self.bands, self.rows, k = bands, rows, bands * rows
         self.a, self.b = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B)
         self.shift = (np.arange(k, dtype=np.uint32) * self.a)[:, None]  # pi starts with a product, so the shift is added after it
@@ -94,8 +83,6 @@ class Circulant:
         self.weights = mix(np.arange(1, rows + 1, dtype=np.uint64) * np.uint64(0xDA942042E4DD58B5)) | np.uint64(1)
 
     def signature(self, shingles):
-        import numpy as np
-
         sigma = (mix(shingles ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(32)).astype(np.uint32)
         y, best = sigma * self.a, None
         for at in range(0, len(y), self.WIDTH):
@@ -110,8 +97,6 @@ class Circulant:
         return best
 
     def __call__(self, shingles):
-        import numpy as np
-
         if not len(shingles):
             return np.empty(0, dtype=np.int64)
         s = self.signature(shingles).reshape(self.bands, self.rows).astype(np.uint64)
@@ -125,86 +110,76 @@ def set_key(shingles) -> str:
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def sign(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
         shingler, circulant = Shingler(), Circulant()
         for b in batches:
-            sets = [shingler(t) for t in b["text"]]
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "n_shingles": [len(s) for s in sets], "set_key": [set_key(s) for s in sets], "bands": [circulant(s) for s in sets]})
+            for ids, sets in parts(b.column(0), shingler.sets(b.column(1))):
+                yield pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) for s in sets]), lists([circulant(s) for s in sets])], ["doc_id", "n_shingles", "set_key", "bands"])
+
+    return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(sign, SIGNED)
+
 
-    return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(sign, SIGNED)
+def parts(column, found: Iterator, n: int = PART) -> Iterator[tuple]:
+    """A column and what was found for its rows, n rows at a time: no batch's sets are held together."""
+    for at in range(0, len(column), n):
+        yield column.slice(at, n), list(islice(found, n))
+
+
+def lists(arrays: list[np.ndarray]):
+    """Arrow lists of 64-bit numbers."""
+    import pyarrow as pa
+
+    ends = np.concatenate(([0], np.cumsum([len(a) for a in arrays]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int64), *(a.view(np.int64) for a in arrays)])))
 
 
 def bitmap(shingles):
     """BITS bits, set where a shingle falls, as signed 64-bit words. A bit that only one of two sets has is a shingle the
     other lacks, which bounds what they share from above."""
-    import numpy as np
-
     bits = np.zeros(BITS, np.uint8)
     bits[(shingles & np.uint64(BITS - 1)).astype(np.int64)] = 1
     return np.packbits(bits).view(np.int64)
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import numpy as np
+    def sets(batches: Iterator) -> Iterator:
+        import pyarrow as pa
 
         shingler = Shingler()
         for b in batches:
-            found = [shingler(t) for t in b["text"]]
-            yield pd.DataFrame({"set_key": [set_key(s) for s in found], "shingles": [s.view(np.int64) for s in found], "bits": [bitmap(s) for s in found]})
+            for _, found in parts(b.column(0), shingler.sets(b.column(0))):
+                yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in found]), lists(found), lists([bitmap(s) for s in found])], ["set_key", "shingles", "bits"])
 
-    return docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInPandas(sets, "set_key string, shingles array<long>, bits array<long>")
+    return docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(sets, "set_key string, shingles array<long>, bits array<long>")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs (a, b) whose whole sets are alike enough."""
+    """The pairs (a, b) whose whole sets are alike enough; a pair may come twice. Nothing above the joins needs a key's rows
+    together, so the partition of a set that many others are compared with can be split."""
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
     alike = 100 * both >= percent * (F.size("sa") + F.size("sb") - both)
-    return pairs.join(left, "a").join(right, "b").where(alike).select("a", "b").distinct()
-
+    return pairs.join(left, "a").join(right, "b").where(alike).select("a", "b")
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: one row per input row."""
-    sig = written(signed(docs), "signatures")
-    first = sig.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("first"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
-    no_id = F.lit(NO_ID) + F.shiftrightunsigned(F.xxhash64("set_key"), 3)
-    classes = written(first.withColumn("node", F.coalesce("first", no_id)), "classes")
-    nodes = classes.select("set_key", "node", "first")
-
-    entries = classes.select("node", "n", F.explode("bands").alias("bucket"))
-    buckets = entries.groupBy("bucket").agg(F.min("node").alias("center"), F.max("node").alias("last")).where("center < last").drop("last")
-    shared = written(entries.join(buckets, "bucket"), "buckets")
 
-    fetch = shared.select("node").distinct()
-    wanted = nodes.join(fetch, "node", "left_semi")
-    ids = wanted.select(F.col("first").alias("id")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
-    sets = shingle_sets(texts).groupBy("set_key").agg(F.first("shingles").alias("shingles"), F.first("bits").alias("bits"))
-    sets = written(sets.join(wanted.select("set_key", "node"), "set_key").select("node", "shingles", "bits"), "shingle_sets")
+def own(name: str) -> Column:
+    """Component of a node, itself if it has no link."""
+    return F.coalesce(name + "_component", name)
 
-    spokes = written(shared.where("node <> center").groupBy("node", "center").agg(F.count(F.lit(1)).alias("bands")), "spokes")
-    best = spokes.groupBy("node").agg(F.max_by("center", F.struct("bands", -F.col("center"))).alias("center"))
-    pairs = best.select(F.col("center").alias("a"), F.col("node").alias("b"))
-    links = written(verified(pairs, sets, percent), "linked")
-    found = written(components(links), "components")
 
-    of = lambda name: found.select(F.col("node").alias(name), F.col("component").alias(name + "_component"))
-    own = lambda name: F.coalesce(name + "_component", name)
-    rest = spokes.join(of("node"), "node", "left").join(of("center"), "center", "left").where(own("node") != own("center"))
-    rest = rest.select(F.col("center").alias("a"), F.col("node").alias("b")).join(pairs, ["a", "b"], "left_anti")
-    links = written(links.unionByName(verified(rest, sets, percent)), "linked")
-    found = written(components(links), "components")
+def still_open(entries: DataFrame, found: DataFrame) -> DataFrame:
+    """The entries, with their component c, of buckets that hold more than one."""
+    placed = entries.drop("c").join(found.select("node", F.col("component").alias("node_component")), "node", "left").withColumn("c", own("node")).drop("node_component")
+    mixed = placed.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("bucket")
+    return placed.join(mixed, "bucket", "left_semi")
 
-    def still_open(entries: DataFrame) -> DataFrame:
-        """The entries, with their component c, of buckets that hold more than one."""
-        placed = entries.drop("c").join(of("node"), "node", "left").withColumn("c", own("node")).drop("node_component")
-        mixed = placed.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("bucket")
-        return placed.join(mixed, "bucket", "left_semi")
 
+def last_rounds(entries: DataFrame, sets: DataFrame, links: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """All links and components, with the pairs of open buckets that may still be links."""
     # Shingles that no other open set has bound what a set can share; many sets can then have no partner at all.
-    entries = written(still_open(shared.select("bucket", "node", "n")), "open_buckets")
     body = sets.join(entries.select("node").distinct(), "node", "left_semi").select("node", F.explode("shingles").alias("shingle"))
     lone = body.groupBy("shingle").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("k")).where("k = 1").groupBy("node").agg(F.count(F.lit(1)).alias("lone"))
     entries = entries.join(lone, "node", "left").withColumn("common", F.col("n") - F.coalesce("lone", F.lit(0))).drop("lone")
@@ -228,12 +203,49 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     found = written(components(links), "components")
 
     # What is left of a bucket beside its largest component is compared with all of the bucket.
-    entries = written(still_open(entries), "open_buckets")
+    entries = written(still_open(entries, found), "open_buckets")
     largest = entries.groupBy("bucket", "c").agg(F.count(F.lit(1)).alias("k")).groupBy("bucket").agg(F.max_by("c", F.struct("k", "c")).alias("most"))
     rest = entries.join(largest, "bucket").where("c <> most").drop("most")
     pairs = ordered(rest.alias("x").join(entries.alias("y"), possible("x", "y")))
     links = written(links.unionByName(verified(pairs, sets, percent)), "linked")
     found = written(components(links), "components")
+    return links, found
+
+
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept: one row per input row."""
+    sig = written(signed(docs), "signatures")
+    first = sig.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("first"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+    no_id = F.lit(NO_ID) + F.shiftrightunsigned(F.xxhash64("set_key"), 3)
+    classes = written(first.withColumn("node", F.coalesce("first", no_id)), "classes")
+    nodes = classes.select("set_key", "node", "first")
+
+    entries = classes.select("node", "n", F.explode("bands").alias("bucket"))
+    buckets = entries.groupBy("bucket").agg(F.min("node").alias("center"), F.max("node").alias("last")).where("center < last").drop("last")
+    shared = written(entries.join(buckets, "bucket"), "buckets")
+
+    fetch = shared.select("node").distinct()
+    wanted = nodes.join(fetch, "node", "left_semi")
+    ids = wanted.select(F.col("first").alias("id")).distinct()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
+    sets = shingle_sets(texts).groupBy("set_key").agg(F.first("shingles").alias("shingles"), F.first("bits").alias("bits"))
+    sets = written(sets.join(wanted.select("set_key", "node"), "set_key").select("node", "shingles", "bits"), "shingle_sets")
+
+    spokes = written(shared.where("node <> center").groupBy("node", "center").agg(F.count(F.lit(1)).alias("bands")), "spokes")
+    best = spokes.groupBy("node").agg(F.max_by("center", F.struct("bands", -F.col("center"))).alias("center"))
+    pairs = best.select(F.col("center").alias("a"), F.col("node").alias("b"))
+    links = written(verified(pairs, sets, percent), "linked")
+    found = written(components(links), "components")
+
+    of = lambda name: found.select(F.col("node").alias(name), F.col("component").alias(name + "_component"))
+    rest = spokes.join(of("node"), "node", "left").join(of("center"), "center", "left").where(own("node") != own("center"))
+    rest = rest.select(F.col("center").alias("a"), F.col("node").alias("b")).join(pairs, ["a", "b"], "left_anti")
+    links = written(links.unionByName(verified(rest, sets, percent)), "linked")
+    found = written(components(links), "components")
+
+    entries = written(still_open(shared.select("bucket", "node", "n"), found), "open_buckets")
+    if entries.limit(1).count():
+        links, found = last_rounds(entries, sets, links, percent)
 
     # An id with several texts links their classes.
     several = sig.where("doc_id is not null and n_shingles > 0").groupBy("doc_id").agg(F.min("set_key").alias("lo"), F.max("set_key").alias("hi")).where("lo < hi").select("doc_id")
@@ -255,16 +267,17 @@ def kept_documents(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     Of an id with several texts each text is decided on alone: all but one get a stand-in for the id, above all ids.
     """
-    repeated = docs.groupBy("doc_id").count().where("count > 1").limit(1).count()
+    rows = with_row(docs, F.col("doc_id").cast("long").alias("id"), whole_text().alias("text"))
+    repeated = rows.groupBy("id").count().where("count > 1").limit(1).count()
     if not repeated:
-        kept = near_duplicates(docs, percent).where("kept").select(F.col("doc_id").alias("__kept_id")).distinct()
-        return docs.join(kept.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("__kept_id")), "left_semi")
-    own = docs.withColumn("__text_key", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
-    first = own.where("doc_id is not null").groupBy(F.col("doc_id").alias("__of")).agg(F.min("__text_key").alias("__lo"), F.max("__text_key").alias("__hi"))
-    first = written(first.where("__lo < __hi").select("__of", "__lo"), "ids_with_texts")
-    stand_in = F.lit(NO_ID >> 1) + F.shiftrightunsigned(F.xxhash64("doc_id", "__text_key"), 3)
-    own = own.join(first, F.col("doc_id") == F.col("__of"), "left").withColumn("__row_id", F.when(F.col("__text_key") != F.col("__lo"), stand_in).otherwise(F.col("doc_id").cast("long")))
-    own = written(own.drop("__of", "__lo"), "rows_by_text")
-    kept = near_duplicates(own.select(F.col("__row_id").alias("doc_id"), "text"), percent).where("kept").select(F.col("doc_id").alias("__kept_id")).distinct()
-    out = own.join(kept.hint("shuffle_hash"), F.col("__row_id").eqNullSafe(F.col("__kept_id")), "left_semi")
-    return out.dropDuplicates(["__row_id", "__text_key"]).select(*docs.columns)
+        kept = near_duplicates(docs, percent).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+        return rows_of(rows.drop("text").join(kept.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("kept_id")), "left_semi"))
+    own = rows.withColumn("text_key", F.sha2(F.col("text").cast("binary"), 256))
+    first = own.where("id is not null").groupBy(F.col("id").alias("of")).agg(F.min("text_key").alias("lo"), F.max("text_key").alias("hi"))
+    first = written(first.where("lo < hi").select("of", "lo"), "ids_with_texts")
+    stand_in = F.lit(NO_ID >> 1) + F.shiftrightunsigned(F.xxhash64("id", "text_key"), 3)
+    own = own.join(first, F.col("id") == F.col("of"), "left").withColumn("row_id", F.when(F.col("text_key") != F.col("lo"), stand_in).otherwise(F.col("id")))
+    own = written(own.drop("of", "lo", "id"), "rows_by_text")
+    kept = near_duplicates(own.select(F.col("row_id").alias("doc_id"), "text"), percent).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    out = own.join(kept.hint("shuffle_hash"), F.col("row_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    return rows_of(out.dropDuplicates(["row_id", "text_key"]))
