@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import comb
+
 from . import mixing, quality_rules, url_filter
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -16,25 +18,36 @@ def op1() -> str:
     names = tuple(rules)
     share = lambda n: f"case when {rules[n][1]} > 0 then {rules[n][0]}::double / {rules[n][1]} else 0 end"
     alpha = quality_rules.MAX_FALSE_REJECTION
+    tail = f"list_sum(list_transform(range(0, k + 1), lambda j: exp(lgamma(n + 1.0) - lgamma(j + 1.0) - lgamma(n - j + 1.0) + j * ln({alpha}::double) + (n - j) * ln(1 - {alpha}::double))))"
     return rf"""
 with w as (select doc_id, lang, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '{WORD}') as w from documents),
 r as (select doc_id, lang, t, row_number() over () as row, w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{WORD}')) as lines from w),
 g as (select row, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] as gram from r, unnest(range(1, greatest(len(w) - 1, 1))) u(i)),
 often as (select row, i from (select row, i, count(*) over (partition by row, gram) as k from g) where k > 1),
 hit as (select row, count(distinct i + d)::bigint as n from often, unnest([0, 1, 2]) v(d) group by row),
-base as (select row, doc_id, lang, len(w)::bigint as n_words, length(array_to_string(w, ''))::bigint as word_chars,
+base as (select row, doc_id, lang, t, len(w)::bigint as n_words, length(array_to_string(w, ''))::bigint as word_chars,
     (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::bigint as n_symbols, (len(lines) - len(list_distinct(lines)))::bigint as n_dup_lines, coalesce(hit.n, 0)::bigint as n_repeat_words,
     len(lines) as n_lines, length(t) - length(regexp_replace(t, '\p{{Lu}}', '', 'g')) as capitals, length(t) - length(replace(t, '!', '')) as shouts
   from r left join hit using (row)),
 f as (select *, n_words < {quality_rules.MIN_WORDS} or 100 * n_repeat_words > 50 * n_words as base_failed, {', '.join(f'{share(n)} as r_{n}' for n in names)} from base),
-known as (select f.*, quality as good from f join labels using (doc_id) where not base_failed and quality in (0, 1)),
+known as (select lang, min(quality) as good, {', '.join(f'any_value(r_{n}) as r_{n}' for n in names)} from f join (select distinct doc_id, quality from labels) l using (doc_id)
+  where not base_failed and quality in (0, 1) group by lang, t having min(quality) = max(quality)),
 long as ({' union all '.join(f"select lang as stratum, good, '{n}' as rule, r_{n} as value from known" for n in names)}),
 tests as (select stratum, rule, cutoff, count(*) filter (good = 1) as n, count(*) filter (good = 0) as n_bad, count(*) filter (good = 1 and value > cutoff) as k, count(*) filter (good = 0 and value > cutoff) as k_bad
   from long, unnest({list(quality_rules.GRID)}::double[]) c(cutoff) group by all),
-tail as (select *, case when k >= n * {alpha}::double then 1.0 else list_sum(list_transform(range(0, k + 1), lambda j: exp(lgamma(n + 1.0) - lgamma(j + 1.0) - lgamma(n - j + 1.0) + j * ln({alpha}::double) + (n - j) * ln(1 - {alpha}::double)))) end as p from tests),
-safe as (select *, min((p <= {quality_rules.ERROR}::double / ((select count(*) from (select distinct stratum from long)) * {len(names)}))::int) over (partition by stratum, rule order by cutoff desc) as ok from tail),
+strata as (select count(*) as n_strata from (select distinct stratum from long)),
+tail as (select *, case when k >= n * {alpha}::double then 1.0 else {tail} end as p from tests),
+safe as (select *, min((p <= {quality_rules.ERROR}::double / 2 / ((select n_strata from strata) * {len(names)}))::int) over (partition by stratum, rule order by cutoff desc) as ok from tail),
 best as (select stratum, rule, cutoff from (select *, row_number() over (partition by stratum, rule order by k_bad / n_bad - {quality_rules.GOOD_WEIGHT} * k / n desc, cutoff desc) as place from safe where ok = 1 and k_bad > 0 and k_bad / n_bad - {quality_rules.GOOD_WEIGHT} * k / n > 0) where place = 1),
-cuts as (select stratum, {', '.join(f"max(cutoff) filter (rule = '{n}') as c_{n}" for n in names)} from best group by stratum),
+single as (select stratum, {', '.join(f"max(cutoff) filter (rule = '{n}') as c_{n}" for n in names)} from best group by stratum),
+hits as (select stratum, good, {' + '.join(f"case when c_{n} is not null then {1 << i} else 0 end" for i, n in enumerate(names))} as every, {' + '.join(f"case when r_{n} > c_{n} then {1 << i} else 0 end" for i, n in enumerate(names))} as hit
+  from known join single on known.lang is not distinct from single.stratum),
+sets as (select stratum, every, s, count(*) filter (good = 1) as n, count(*) filter (good = 0) as n_bad, count(*) filter (good = 1 and hit & s > 0) as k, count(*) filter (good = 0 and hit & s > 0) as k_bad
+  from hits, unnest(range(1, {1 << len(names)})) u(s) where s & every = s group by all),
+joint as (select *, case when k >= n * {alpha}::double then 1.0 else {tail} end as p, case bit_count(s) {' '.join(f'when {m} then {comb(len(names), m) * len(quality_rules.GRID) ** m}::double' for m in range(1, len(names) + 1))} end as ways from sets),
+chosen as (select stratum, s from (select *, row_number() over (partition by stratum order by s = every desc, k_bad / n_bad - {quality_rules.GOOD_WEIGHT} * k / n desc, s) as place
+  from joint where bit_count(s) = 1 or p <= {quality_rules.ERROR}::double / 2 / (select n_strata from strata) / {len(names) - 1} / ways) where place = 1),
+cuts as (select single.stratum, {', '.join(f"case when s & {1 << i} > 0 then c_{n} end as c_{n}" for i, n in enumerate(names))} from single join chosen on single.stratum is not distinct from chosen.stratum),
 judged as (select f.*, case when base_failed then 'base' {' '.join(f"when r_{n} > c_{n} then '{n}'" for n in names)} end as broken_rule from f left join cuts on f.lang is not distinct from cuts.stratum)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, broken_rule is null as kept, broken_rule from judged"""
 

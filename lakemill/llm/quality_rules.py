@@ -11,8 +11,12 @@ they reject together. Their cutoffs were chosen by the same labels; the other ha
 all combinations of cutoffs that could have been chosen. If all chosen rules together are not proven safe, the set of
 them that is and best tells bad from good stays; a single rule has its proof already.
 
+The evidence is a stratum's distinct labelled texts that pass the base: repeated labels and exact copies of a text count
+once, and a text that is labelled both good and bad does not count. What is promised is therefore a share of the distinct
+good texts that pass the base.
+
 Edge cases: null text has no words (base_failed); a null stratum is a stratum of its own; a stratum with too few labels
-to prove anything gets no cutoff; null or repeated labels: only quality 0 and 1 count, each row once per label row.
+to prove anything gets no cutoff; of the labels only quality 0 and 1 count.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import small, written
+from .common import rows_of, small, with_row, written
 
 SPACE = r"[ \t-\r]+"
 SYMBOLS = r"[#*$%&|<>]"
@@ -34,6 +38,8 @@ ERROR = 0.05
 GOOD_WEIGHT = 5.0
 GRID = (0.9, 0.75, 0.6, 0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.1, 0.07, 0.05, 0.03, 0.02, 0.01)
 P = "__rule_"
+#: The stratum of a row.
+OF = P + "of"
 
 
 def rules() -> dict[str, Column]:
@@ -49,16 +55,15 @@ def rules() -> dict[str, Column]:
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed and ``__rule_`` columns.
+    """``docs`` (text, and none of the names added here) with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed and ``__rule_`` columns.
 
     The three-word windows of a text are compared by 64-bit hashes in one sorted array, so a text of n words takes
     O(n log n); the sort runs only where the distinct hashes are fewer than the windows. The steps are separate
     projections whose arrays are read more than once, which keeps Catalyst from merging a split into a lambda.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    own = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
-    df = docs.select(*(c for c in docs.columns if c not in own))
-    df = df.withColumns({
+    df = docs.withColumns({
+        P + "text": F.xxhash64(text),
         P + "words": F.array_remove(F.split(text, SPACE), ""),
         P + "all_lines": F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^ \t-\r]")),
         "word_chars": F.length(F.regexp_replace(text, SPACE, "")).cast("long"),
@@ -114,8 +119,10 @@ def cutoffs(features: DataFrame, labels: DataFrame, stratum: str = "lang", max_f
     """(stratum, cutoff per rule as a column, null where none is proven safe), one row per stratum that has labels."""
     named = rules()
     truth = labels.select(F.col("doc_id").alias(P + "id"), F.col("quality").alias(P + "quality")).where(F.col(P + "quality").isin(0, 1))
-    known = features.where(~F.col("base_failed")).select("doc_id", F.col(stratum).alias("stratum"), *(c.alias(n) for n, c in named.items()))
-    known = known.join(truth, known.doc_id == F.col(P + "id")).select("stratum", F.col(P + "quality").alias("good"), *named)
+    text = F.col(P + "text") if P + "text" in features.columns else F.col("doc_id")
+    known = features.where(~F.col("base_failed")).select("doc_id", F.col(stratum).alias("stratum"), text.alias("text"), *(c.alias(n) for n, c in named.items()))
+    known = known.join(truth.distinct(), known.doc_id == F.col(P + "id"))
+    known = known.groupBy("stratum", "text").agg(F.min(P + "quality").alias("good"), F.max(P + "quality").alias("most"), *(F.max(n).alias(n) for n in named)).where("good = most")
     level = lambda c: sum((F.when(c > g, 1).otherwise(0) for g in GRID), F.lit(0))  # noqa: E731  how many cutoffs it exceeds
     counts = known.groupBy("stratum", *(level(F.col(n)).alias(n) for n in named)).agg(F.sum("good").alias("good"), F.sum(1 - F.col("good")).alias("bad"))
     counts = written(counts, "rule_counts")
@@ -170,15 +177,18 @@ def judged(features: DataFrame, cuts: DataFrame, stratum: str = "lang") -> DataF
     return df.withColumn("broken_rule", F.when(F.col("base_failed"), F.lit("base")).otherwise(broken)).withColumn("kept", F.col("broken_rule").isNull())
 
 
+def narrow(docs: DataFrame, stratum: str) -> DataFrame:
+    return docs.select("doc_id", F.col(stratum).alias(OF), "text")
+
+
 def quality_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang") -> DataFrame:
     """Base measures and the risk-controlled verdict of every document; one row per input row."""
-    features = written(measured(docs.select("doc_id", F.col(stratum), "text")).drop("text"), "rule_features")
-    out = judged(features, cutoffs(features, labels, stratum), stratum)
+    features = written(measured(narrow(docs, stratum)).drop("text"), "rule_features")
+    out = judged(features, cutoffs(features, labels, OF), OF)
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "broken_rule")
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame, stratum: str = "lang") -> DataFrame:
     """The rows of ``docs``, with their columns, that the rules keep. Texts are measured again instead of being shuffled."""
-    light = measured(docs.select("doc_id", F.col(stratum), "text")).drop("text")
-    cuts = cutoffs(written(light, "rule_features"), labels, stratum)
-    return judged(measured(docs), cuts, stratum).where("kept").select(*docs.columns)
+    cuts = cutoffs(written(measured(narrow(docs, stratum)).drop("text"), "rule_features"), labels, OF)
+    return rows_of(judged(measured(with_row(docs, F.col(stratum).alias(OF), "text")), cuts, OF).where("kept"))
