@@ -1,7 +1,12 @@
 """The corpus pipeline: documents through five operators, each stage's result written and read again.
 
 Stages get every row their predecessor kept and decide on all of them. All but the last return the columns of
-``documents``. The order of rows carries no meaning but after mixing, where it is the shuffled order of each partition.
+``documents``, whatever they are called. The order of rows carries no meaning but after mixing, where it is the shuffled
+order of each partition.
+
+Edge cases: null and empty texts fail the base of the quality rules; rows without an id all stay past near-duplicates unless
+their texts are equal; each text of an id with several is decided on alone; texts that suffix dedup empties stay as
+documents; an empty table, or one of which nothing is kept, gives no pieces.
 """
 
 from __future__ import annotations
@@ -11,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lakemill.llm import minhash, mixing, packing, quality_rules, suffix_dedup
-from lakemill.llm.common import table, written
+from lakemill.llm.common import latest, release, table, written, written_so_far
 from lakemill.llm.queries import tokenizer
 
 
@@ -53,7 +58,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = table(spark, sf_dir, "documents")
+    """The last stage's rows. What a stage wrote on its way, and the stage before, goes as soon as its result is written."""
+    df, kept = table(spark, sf_dir, "documents"), 0
     for name, stage in STAGES:
+        since = written_so_far()
         df = written(stage(spark, df, sf_dir), f"stage_{name}")
+        release(since - kept, keep=latest())
+        kept = 1
     return df

@@ -88,6 +88,60 @@ def test_packing(stages):
     assert got == want
 
 
+#: Names that the stages use inside, as columns of the caller's.
+NAMES = (
+    "n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept broken_rule __rule_of __rule_text __rule_words __rule_stratum __rule_lines __row id kept_id text_key row_id of lo hi sha cut cut_id cut_sha "
+    "spans copies rate copy place target named n __rate __copies __copy __place __source __key __sha __spans __kept_id node component bucket length start offset rank block"
+).split()
+
+
+def awkward(spark):
+    prose = " ".join(f"word{i % 97}x{i * 7 % 89} and" for i in range(60))
+    rows = [(i, f"{prose} number {i} " + " ".join(f"own{i}t{k}" for k in range(80)), "en", "src0" if i % 3 else "b") for i in range(40)]
+    rows += [(3, "quite another text under the id three " + " ".join(f"z{k}" for k in range(70)), "en", None), (5, rows[5][1], "en", "b"), (None, "no id here " + " ".join(f"y{k}" for k in range(70)), None, None), (None, None, None, None)]
+    rows += [(90, None, "en", "b"), (91, "", None, "b"), (92, " ".join(f"long{k}" for k in range(150_000)), "de", "b")]
+    df = spark.createDataFrame([(*r, len(r[1] or "")) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    return df.selectExpr("*", *(f"concat('mine ', coalesce(cast(doc_id as string), 'none')) as `{n}`" for n in NAMES))
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stages_leave_the_callers_columns_alone(spark, name):
+    """Every internal name as an extra column; null and repeated ids, null, empty and very long texts, and an empty table."""
+    stage, df = dict(corpus_pipeline.STAGES)[name], awkward(spark)
+    if name == "packing":
+        ids = Counter(r.doc_id for r in df.collect())
+        got = stage(spark, df, SF).collect()
+        assert Counter(r.doc_id for r in got if r.start == 0) == ids and stage(spark, df.limit(0), SF).count() == 0
+        return
+    before, out = df.collect(), stage(spark, df, SF)
+    assert out.columns == df.columns and out.dtypes == df.dtypes
+    rows = out.collect()
+    assert rows and all(r[n] == f"mine {'none' if r.doc_id is None else r.doc_id}" for r in rows for n in NAMES)
+    count = Counter((r.doc_id, r.text) for r in rows)
+    if name == "quality_rules":
+        assert count == Counter((r.doc_id, r.text) for r in before if r.text)
+    elif name == "minhash_dedup":
+        assert all(n == 1 for n in count.values()) and {i for i, _ in count} >= {0, 92}
+        assert any("quite another" in t for i, t in count if i == 3)
+    elif name == "suffix_dedup":
+        assert len(rows) == len(before) and all(r.n_chars == len(r.text) for r in rows if r.text is not None)
+        whole = {(r.doc_id, r.text) for r in before}
+        assert (92, next(r.text for r in before if r.doc_id == 92)) in whole & set(count)
+    else:
+        assert set(count) <= {(r.doc_id, r.text) for r in before}
+    assert stage(spark, df.limit(0), SF).count() == 0
+
+
+def test_run_over_awkward_and_empty_tables(spark, tmp_path):
+    for part, df in (("a", awkward(spark)), ("b", awkward(spark).limit(0))):
+        folder = str(tmp_path / part)
+        df.write.parquet(f"{folder}/documents.parquet")
+        spark.read.parquet(f"{SF}/labels.parquet").write.parquet(f"{folder}/labels.parquet")
+        got = corpus_pipeline.run(spark, folder).collect()
+        assert (part == "a") == bool(got)
+        assert {r.doc_id for r in got} <= {None, *range(40), 92}
+
+
 def test_entry_works_without_these_folders(tmp_path):
     for name in ("lakemill", "tests", "__spark_entry__.py"):
         source = ROOT / name
