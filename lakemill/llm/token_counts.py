@@ -1,9 +1,9 @@
 """Token counts through a digest cache.
 
 Key: digest of the normalised content and digest of the tokenizer file. Documents are joined to the stored counts by
-key; each distinct miss is encoded once and appended to the cache, a Parquet folder that all machines share. Texts are
-shuffled once, past a semi join against one representative id per missing digest, so copies of a text are encoded once
-wherever they lie.
+key; each distinct miss is encoded once and appended to the cache, a Parquet folder that all machines share, and every row
+is answered from there. Texts are shuffled once, past a merge join with one representative per missing digest, so copies
+of a text are encoded once wherever they lie; rows that repeat both id and text meet there and all but one are passed over.
 
 Edge cases: null text counts as empty (0 tokens); repeated rows get a row each; a null doc_id is represented by its
 digest alone; a cache written by two runs at once may hold a key twice, with equal counts, and is read through max().
@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,21 +42,34 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str | None =
     text = whole_text()
     # Word tokenizers drop white space, so runs of it are one blank in the key; it changes no count.
     content = F.regexp_replace(text, r"[ \t-\r]+", " ") if check_words(tokenizer_path) else text
-    keyed = docs.select("doc_id", text.alias("text"), F.sha2(content.cast("binary"), 256).alias("digest"))
-    light = written(keyed.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "digest"), "token_keys")
-    stored = read_cache(spark, cache_path, tokenizer)
-    misses = light.join(stored, "digest", "left_anti").groupBy("digest").agg(F.min("doc_id").alias("first"))
-    misses = written(misses, "token_misses").select(F.col("digest").alias("miss"), "first")
-
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        found = encoder(tokenizer_path)
+    own = F.xxhash64(text)
+    light = docs.select("doc_id", own.alias("own"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(content.cast("binary"), 256).alias("digest"))
+    light = written(light, "token_keys")
+    # Digests are made distinct first, so a digest that many rows share is one row when it meets the stored ones.
+    distinct = light.groupBy("digest").agg(F.min(F.struct("doc_id", "own")).alias("first"))
+    misses = distinct.join(read_cache(spark, cache_path, tokenizer), "digest", "left_anti")
+    misses = written(misses.select("digest", F.col("first.doc_id").alias("first_id"), F.col("first.own").alias("first_own")), "token_misses")
+
+    def encode(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        found, last = encoder(tokenizer_path), None
         for b in batches:
-            yield pd.DataFrame({"digest": b["digest"], "tokenizer": tokenizer, "n_tokens": [len(x) // 4 for x in found.ids(list(b["text"]))]})
+            digests, keep = b.column(0).to_pylist(), []
+            for i, digest in enumerate(digests):  # rows that repeat both id and text follow each other
+                if digest != last:
+                    keep.append(i)
+                last = digest
+            if keep:
+                counts = [n for _, at in found.slices(b.column(1).take(pa.array(keep))) for n in np.diff(at).tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array([digests[i] for i in keep]), pa.array(counts, pa.int64())], ["digest", "n_tokens"])
 
-    found = F.col("doc_id").eqNullSafe(F.col("first")) & (F.col("digest") == F.col("miss"))
-    todo = keyed.join(misses.hint("shuffle_hash"), found, "left_semi").select("digest", "text")
-    # Rows that repeat both id and text are counted again rather than shuffled again.
-    todo.mapInPandas(encode, CACHE).write.mode("append").parquet(cache_path)
+    texts = docs.select("doc_id", own.alias("own"), text.alias("text"))
+    todo = texts.join(misses.hint("merge"), F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("own") == F.col("first_own"))).select("digest", "text")
+    new = written(todo.mapInArrow(encode, "digest string, n_tokens long"), "token_counts")
+    # A join that splits a hot id may have counted its text more than once.
+    new = new.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")).select("digest", F.lit(tokenizer).alias("tokenizer"), "n_tokens")
+    new.write.mode("append").parquet(cache_path)
     counts = read_cache(spark, cache_path, tokenizer)
     out = light.join(counts, "digest", "left")
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
