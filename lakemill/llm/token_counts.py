@@ -1,12 +1,13 @@
 """Token counts through a digest cache.
 
 Key: digest of the normalised content and digest of the tokenizer file. Documents are joined to the stored counts by
-key; each distinct miss is encoded once and appended to the cache, a Parquet folder that all machines share, and every row
-is answered from there. Texts are shuffled once, past a merge join with one representative per missing digest, so copies
-of a text are encoded once wherever they lie; rows that repeat both id and text meet there and all but one are passed over.
+key; each distinct miss is encoded once and appended to the cache, a Parquet folder that all machines share; rows are
+answered from what was stored and what was added. Texts are shuffled once, past a merge join with one representative per
+missing digest, so copies of a text are encoded once wherever they lie; rows that repeat both id and text meet there and
+all but one are passed over.
 
-Edge cases: null text counts as empty (0 tokens); repeated rows get a row each; a null doc_id is represented by its
-digest alone; a cache written by two runs at once may hold a key twice, with equal counts, and is read through max().
+Edge cases: null text counts as empty (0 tokens); repeated rows get a row each; null ids are matched as equal
+ones; a cache written by two runs at once may hold a key twice, with equal counts, and is read through max().
 """
 
 from __future__ import annotations
@@ -47,8 +48,9 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str | None =
     light = written(light, "token_keys")
     # Digests are made distinct first, so a digest that many rows share is one row when it meets the stored ones.
     distinct = light.groupBy("digest").agg(F.min(F.struct("doc_id", "own")).alias("first"))
-    misses = distinct.join(read_cache(spark, cache_path, tokenizer), "digest", "left_anti")
-    misses = written(misses.select("digest", F.col("first.doc_id").alias("first_id"), F.col("first.own").alias("first_own")), "token_misses")
+    known = distinct.join(read_cache(spark, cache_path, tokenizer), "digest", "left")
+    known = written(known.select("digest", F.col("first.doc_id").alias("first_id"), F.col("first.own").alias("first_own"), "n_tokens"), "token_known")
+    misses = known.where("n_tokens is null").drop("n_tokens")
 
     def encode(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -66,10 +68,11 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str | None =
 
     texts = docs.select("doc_id", own.alias("own"), text.alias("text"))
     todo = texts.join(misses.hint("merge"), F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("own") == F.col("first_own"))).select("digest", "text")
-    new = written(todo.mapInArrow(encode, "digest string, n_tokens long"), "token_counts")
     # A join that splits a hot id may have counted its text more than once.
-    new = new.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")).select("digest", F.lit(tokenizer).alias("tokenizer"), "n_tokens")
-    new.write.mode("append").parquet(cache_path)
-    counts = read_cache(spark, cache_path, tokenizer)
+    new = todo.mapInArrow(encode, "digest string, n_tokens long").groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    new = written(new, "token_counts")
+    new.select("digest", F.lit(tokenizer).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache_path)
+    # Written tables on both sides: the partition of a digest that many rows share can be split.
+    counts = known.where("n_tokens is not null").select("digest", "n_tokens").unionByName(new)
     out = light.join(counts, "digest", "left")
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
