@@ -49,19 +49,22 @@ KINDS = (("edited", 0.55), ("next", 1.0))
 
 
 def bucketed(df: DataFrame) -> DataFrame:
-    """``df`` (key) with bucket: a range of keys with about BUCKET rows. Bounds are the first keys of range partitions; they are
-    looked up in two steps in an array that a scalar subquery makes."""
+    """``df`` (key) with bucket: a range of keys with about BUCKET rows. Bounds are the first keys of range partitions, written
+    as a table of a row for each of at most 256 groups; a key's group is found first, and joined by broadcast."""
     keys = written(df.select("key"), "text_ids")
     n = max(1, min(BUCKETS, keys.count() // BUCKET))
     if n == 1:
         return df.withColumn("bucket", F.lit(0))
-    bounds = keys.repartitionByRange(n, "key").groupBy(F.spark_partition_id().alias("part")).agg(F.min("key").alias("first"))
     step = max(1, int(n**0.5))
-    parts = F.transform(F.sequence(F.lit(0), F.size("all") - 1, F.lit(step)), lambda i: F.slice("all", i + 1, step))
-    table = written(bounds, "bounds").agg(F.sort_array(F.collect_list("first")).alias("all")).select(F.struct(F.transform(parts, lambda p: p[0]).alias("coarse"), parts.alias("fine")).alias("b")).scalar()
+    bounds = keys.repartitionByRange(n, "key").groupBy(F.spark_partition_id().alias("part")).agg(F.min("key").alias("first"))
+    bounds = bounds.agg(F.sort_array(F.collect_list("first")).alias("all"))  # BUCKETS keys at most
+    groups = F.transform(F.sequence(F.lit(0), F.size("all") - 1, F.lit(step)), lambda i: F.slice("all", i + 1, step))
+    bounds = written(bounds.select(F.posexplode(groups).alias("group", "bounds")), "bounds")
+    first = [r[0] for r in bounds.orderBy("group").select(F.col("bounds")[0]).collect()]
+    first = F.array(*(F.struct(F.lit(k["doc_id"]).cast("long").alias("doc_id"), F.lit(k["digest"]).cast("long").alias("digest")) for k in first))
     upto = lambda xs: F.size(F.filter(xs, lambda x: x <= F.col("key")))
-    df = df.withColumn("coarse", F.greatest(upto(table["coarse"]) - 1, F.lit(0)))
-    return df.withColumn("bucket", F.col("coarse") * step + upto(F.get(table["fine"], F.col("coarse")))).drop("coarse")
+    df = df.withColumn("group", F.greatest(upto(first) - 1, F.lit(0))).join(F.broadcast(bounds), "group")
+    return df.withColumn("bucket", F.col("group") * step + upto(F.col("bounds"))).drop("group", "bounds")
 
 
 def paragraphs(text: Column) -> Column:
