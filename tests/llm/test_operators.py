@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from lakemill.llm import fingerprints, language_id, minhash, mixing, packing, quality_classifier, quality_rules, suffix_dedup, token_counts, url_filter
 
+from lakemill.llm.common import written
+
 from ..conftest import SF
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -93,7 +95,7 @@ def test_exact_binomial_tail(spark):
 def test_cutoffs_reject_bad_and_keep_good(spark):
     """400 good and 100 bad texts in one stratum; only what is proven safe is cut."""
     good = "all these ordinary words make up some quite normal prose text here number"
-    data = [(i, " ".join(f"{w}{(i * 7 + k) % 91}" for k, w in enumerate(good.split() * 6)), "en") for i in range(500)]
+    data = [(i, " ".join(f"{w}{i * 7 + k}" for k, w in enumerate(good.split() * 6)), "en") for i in range(500)]
     data = [(i, t if i % 5 else t.replace(" ", "*** "), lang) for i, t, lang in data]
     docs = spark.createDataFrame(data, "doc_id long, text string, lang string")
     truth = spark.createDataFrame([(i, int(i % 5 > 0)) for i in range(500)], "doc_id long, quality int")
@@ -176,6 +178,152 @@ def test_fingerprints(docs, rows, empty):
     assert fingerprints.fingerprints(empty).count() == 0
 
 
+def test_quality_scores_against_brute_force(spark, docs, labels, rows):
+    """The whole query: sample, term counts, weights, singular vectors and votes in plain numpy over all rows at once."""
+    from lakemill.llm import features
+
+    got = {r.doc_id: r.score for r in quality_classifier.quality_classifier(docs, labels, per_label=40).collect()}
+    texts = {}
+    for i, t in rows:
+        texts.setdefault(i, t)
+    known = {}
+    for r in labels.collect():
+        if r.quality in (0, 1) and r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 5:
+            known[r.doc_id] = r.quality
+    order = {r.doc_id: r.d for r in labels.selectExpr("doc_id", "pmod(xxhash64(doc_id), 4503599627370496L) as d").collect()}
+    sample = [i for label in (0, 1) for i in sorted((i for i, q in known.items() if q == label), key=order.__getitem__)[:40] if i in texts]
+
+    def counts(text):
+        data, out = list((text or "").encode()), np.zeros(features.TERMS, np.int64)
+        kind = [int(features.KINDS[b]) for b in data]
+        for n, salt, at in ((3, 5, 0), (2, 13, features.TERMS // 2)):
+            for k in range(len(kind) - n + 1):
+                h = salt
+                for x in kind[k : k + n]:
+                    h = (h * 0x01000193 + x + 1) % 2**32
+                h = (h ^ h >> 15) * 0x2C1B3C6D % 2**32
+                out[at + (h >> 32 - 11)] += 1
+        grams = Counter(bytes(data[k : k + 16]) for k in range(len(data) - 15))
+        lines = (text or "").split("\n")
+        out[-2:] = sum(n - 1 for n in grams.values()), sum(map(len, lines)) - sum(map(len, set(lines)))
+        return out
+
+    ids = [i for i in texts if i is not None and (len(texts[i] or "") < 6000 or i in sample)]
+    table = {i: counts(texts[i]) for i in ids}
+    x = np.stack([table[i] for i in sample]).astype(float)
+    idf = np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))) + 1
+
+    def vector(c):
+        v = np.sqrt(c / max(c.sum(), 1)) * idf
+        return v / max(np.linalg.norm(v), 1e-12)
+
+    x = np.stack([vector(c) for c in x])
+    _, s, vt = np.linalg.svd(x, full_matrices=False)
+    basis = vt[: quality_classifier.DIMENSIONS][s[: quality_classifier.DIMENSIONS] ** 2 > 1e-6].T
+    unit = lambda v: v / max(np.linalg.norm(v), 1e-12)
+    latent = [(unit(v @ basis), known[i]) for v, i in zip(x, sample)]
+    for i in ids:
+        v = unit(vector(table[i].astype(float)) @ basis)
+        near = sorted(((float(v @ w), q) for w, q in latent), reverse=True)[: quality_classifier.NEIGHBOURS]
+        weight = [max(c, 0) ** quality_classifier.POWER for c, _ in near]
+        want = sum(w * q for w, (_, q) in zip(weight, near)) / sum(weight) if sum(weight) else 0.5
+        assert got[i] == pytest.approx(want, abs=0.02), i
+
+
+def spark_hash(*values):
+    """Spark's xxhash64: text as UTF-8, ("int", x) as four bytes, other numbers as eight."""
+    import struct
+
+    import xxhash
+
+    seed = 42
+    for v in values:
+        raw = v.encode() if isinstance(v, str) else struct.pack("<i", v[1]) if isinstance(v, tuple) else struct.pack("<q", v)
+        seed = xxhash.xxh64_intdigest(raw, seed)
+    return seed - (1 << 64) if seed >> 63 else seed
+
+
+def element_set(text):
+    return {(spark_hash(p), n) for p, n in Counter(re.findall(fingerprints.PARAGRAPH, text)).items()}
+
+
+def sketch(elements, width):
+    cells = {}
+    for d, t in elements:
+        for lane in range(fingerprints.LANES):
+            at = lane, spark_hash(d, t, ("int", lane)) % width
+            n, a, b, c = cells.get(at, (0, 0, 0, 0))
+            cells[at] = (n + 1, a ^ d, b ^ t, c ^ spark_hash(d, t, ("int", -1)))
+    return cells
+
+
+def printed_sketch(elements):
+    digits = lambda x: f"{x & (1 << 64) - 1:X}"
+    return ".".join(":".join((f"{lane * fingerprints.CELLS + at:X}", digits(n), digits(a), digits(b), digits(c)[:8])) for (lane, at), (n, a, b, c) in sorted(sketch(elements, fingerprints.CELLS).items()))
+
+
+def test_buckets_are_ranges_of_ids(spark, docs, monkeypatch):
+    """Many small buckets give what one gives; null ids come first, a hot id is parted by the digests of its texts."""
+    want = sorted(map(str, fingerprints.fingerprints(docs).collect()))
+    monkeypatch.setattr(fingerprints, "BUCKET", 7)
+    assert sorted(map(str, fingerprints.fingerprints(docs).collect())) == want
+    hot = spark.range(300).selectExpr("if(id < 200, 5L, id) as doc_id", "concat('text ', id) as text")
+    keyed = hot.withColumn("key", F.struct("doc_id", F.xxhash64("text").alias("digest")))
+    got = fingerprints.bucketed(keyed).groupBy("bucket").agg(F.count("*").alias("n"), F.min("key").alias("lo"), F.max("key").alias("hi")).orderBy("bucket").collect()
+    assert len(got) > 20 and max(r.n for r in got) < 30 and all(a.hi < b.lo for a, b in zip(got, got[1:]))
+
+
+def test_fingerprints_are_the_sketches_and_digests_are_recovered(docs, rows):
+    order = sorted((r for r in rows if r[0] is not None and r[0] != 9008), key=lambda r: r[0])
+    got = {r.doc_id: r for r in fingerprints.fingerprints(docs.where("doc_id <> 9008")).collect()}
+    for (i, text), (_, follow) in zip(order, order[1:]):
+        text, follow = text or "", follow or ""
+        half = len(text) // 2
+        own, edited = element_set(text), element_set(text[: len(text) - half] + follow[:half])
+        assert (got[i].fingerprint, got[i].edited_fingerprint) == (printed_sketch(own), printed_sketch(edited)), i
+        assert got[i].only_own == sorted(d for d, _ in own - edited) and got[i].only_edited == sorted(d for d, _ in edited - own), i
+
+
+def test_wide_sketches_fold_into_narrow_ones(spark):
+    r = np.random.default_rng(3)
+    elements = {(int(d), int(t)) for d, t in zip(r.integers(-(2**62), 2**62, 300), r.integers(1, 4, 300))}
+    df = spark.createDataFrame([(1, w, list(elements)) for w in (4, 64, 256)], "v long, width long, elements array<struct<d: long, t: long>>")
+    cells = fingerprints.sketches(df, "v")
+    for w in (4, 64, 256):
+        mine = {(c["at"] >> fingerprints.LANE, c["at"] & (1 << fingerprints.LANE) - 1): (c["count"], c["keys"], c["times"], c["checks"]) for c in cells.where(f"width = {w}").collect()}
+        assert mine == sketch(elements, w)
+    low = fingerprints.summed(cells.withColumn("at", fingerprints.folded(F.col("at"), 4)), "width", "at")
+    assert len({frozenset((c["at"], c["count"], c["keys"], c["times"], c["checks"]) for c in low.where(f"width = {w}").collect()) for w in (4, 64, 256)}) == 1
+
+
+@pytest.mark.parametrize("space", [0.02, 8.0])
+def test_a_sketch_that_cannot_be_peeled_is_tried_larger(spark, monkeypatch, space):
+    """Pairs with few differences are peeled from their fingerprints; with too narrow a rung the others double until it works."""
+    monkeypatch.setattr(fingerprints, "SPACE", space)
+    tries, peel = [], fingerprints.peeled
+
+    def counted(pairs, first):
+        tries.append(pairs.select("width").distinct().collect())
+        return peel(pairs, first)
+
+    monkeypatch.setattr(fingerprints, "peeled", counted)
+    pair = lambda n, k, shift: ([(1000 + i, 1) for i in range(n)], [(1000 + i + (shift if i < k else 0), 1) for i in range(n)])
+    cases = [pair(400, 0, 0), pair(400, 1, 10**6), pair(400, 150, 10**6), ([], []), ([(5, 2)], [(5, 3)]), pair(60, 60, 10**6), ([], [(i, 1) for i in range(90)])]
+    df = spark.createDataFrame([(i, a, b, b) for i, (a, b) in enumerate(cases)], "row long, own array<struct<d: long, t: long>>, edited array<struct<d: long, t: long>>, next array<struct<d: long, t: long>>")
+    done, prints = fingerprints.compared(written(df, "test_pairs"))
+    got = {(r["row"], r["kind"]): r for r in done.collect()}
+    for i, (a, b) in enumerate(cases):
+        for kind in (0, 1):
+            r = got.get((i, kind))
+            want = (len(set(a) - set(b)), len(set(b) - set(a)))
+            assert (want if r is not None else (0, 0)) == want and (r is None or (r.only_own, r.only_other) == want)
+        if r is not None:
+            r = got[(i, 0)]
+            assert sorted(r.own_digests) == sorted(d for d, _ in set(a) - set(b)) and sorted(r.other_digests) == sorted(d for d, _ in set(b) - set(a))
+    assert len(tries) >= 4 if space < 1 else len(tries) == 1
+    assert {r["row"]: (r.own_print, r.other_print) for r in prints.collect()} == {i: (printed_sketch(a), printed_sketch(b)) for i, (a, b) in enumerate(cases) if a or b}
+
+
 def test_a_single_document_follows_itself(docs):
     r = fingerprints.fingerprints(docs.where("doc_id = 9011")).first()
     assert r.near_next == 1.0
@@ -184,19 +332,19 @@ def test_a_single_document_follows_itself(docs):
 def test_suffix_dedup(docs, rows, empty):
     from .test_units import brute_removed
 
-    small = [(i, t) for i, t in rows if i != 9013]
-    got = by_id(suffix_dedup.suffix_dedup(docs.where("doc_id is null or doc_id <> 9013")))
-    assert sum(map(len, got.values())) == len(small)
-    texts = [(t or "").encode() for _, t in small]
-    for (i, _), t, gone in zip(small, texts, brute_removed(texts)):
+    got = by_id(suffix_dedup.suffix_dedup(docs))
+    assert sum(map(len, got.values())) == len(rows)
+    texts = [(t or "").encode() for _, t in rows]
+    removed = brute_removed(texts)
+    for (i, _), t, gone in zip(rows, texts, removed):
         edges = int((np.diff(np.concatenate(([0], gone.astype(int)))) == 1).sum())
         kept = hashlib.sha256(np.frombuffer(t, np.uint8)[~gone].tobytes()).hexdigest()
         assert (len(t), int(gone.sum()), edges, kept) in {(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got[i]}, i
     assert suffix_dedup.suffix_dedup(empty).count() == 0
-    out = suffix_dedup.deduplicated(docs.where("doc_id is null or doc_id <> 9013"))
+    out = suffix_dedup.deduplicated(docs)
     assert out.columns == docs.columns
     by = by_id(out)
-    for (i, _), t, gone in zip(small, texts, brute_removed(texts)):
+    for (i, _), t, gone in zip(rows, texts, removed):
         if i is not None:
             assert (by[i][0].text or "") == np.frombuffer(t, np.uint8)[~gone].tobytes().decode("utf-8", "ignore")
 
@@ -212,7 +360,7 @@ def test_a_short_passage_in_many_texts_does_not_fill_a_shard(spark, monkeypatch)
 
     def watched(batches, sort=suffix_dedup.sort_shard):
         parts = list(batches)
-        if sum(len(x) for b in parts for x in b["bytes"]) > largest:
+        if sum(len(x) for b in parts for x in b.column("bytes").to_pylist()) > largest:
             raise MemoryError("a shard is too large")
         yield from sort(iter(parts))
 
@@ -269,6 +417,72 @@ def test_language_id(spark, docs, rows, empty):
     assert {r.lang_pred for r in language_id.language_id(docs.where("lang is null")).collect()} == {"und"}
 
 
+def test_language_model_against_brute_force():
+    """Spherical k-means, TF-IDF and cosines written out in plain Python over dictionaries."""
+    import random
+
+    from lakemill.llm import features
+
+    r = random.Random(4)
+    syllables = {"aa": ["ba", "lo", "mi", "tu"], "bb": ["sch", "ei", "ung", "rt"], "cc": ["eau", "que", "ois", "ille"]}
+    make = lambda lang: " ".join("".join(r.choice(syllables[lang]) for _ in range(r.randint(1, 3))) for _ in range(r.randint(20, 60)))
+    labels = [lang for lang in syllables for _ in range(30)]
+    texts = [make(lang) for lang in labels]
+    counts = np.stack([features.letters(t) for t in texts])
+    model = language_id.fit(labels, counts)
+
+    def vector(c):
+        total, out = sum(c), {}
+        for term, n in enumerate(c):
+            if n:
+                seen = sum(1 for other in counts.tolist() if other[term]) if term not in vector.seen else vector.seen[term]
+                vector.seen[term] = seen
+                out[term] = math.sqrt(n / total) * (math.log((1 + len(counts)) / (1 + seen)) + 1)
+        norm = math.sqrt(sum(x * x for x in out.values()))
+        return {k: x / norm for k, x in out.items()}
+
+    vector.seen = {}
+    x = [vector(c) for c in counts.tolist()]
+    dot = lambda a, b: sum(v * b.get(k, 0.0) for k, v in a.items())
+    centroids = []
+    for lang in sorted(syllables):
+        mine = [v for v, of in zip(x, labels) if of == lang]
+        starts = [0]
+        while len(starts) < language_id.CENTROIDS:
+            near = [max(dot(v, mine[s]) for s in starts) for v in mine]
+            starts.append(near.index(min(near)))
+        c = [mine[s] for s in starts]
+        for _ in range(language_id.ROUNDS):
+            best = [max(range(len(c)), key=lambda i: dot(v, c[i])) for v in mine]
+            for i in range(len(c)):
+                group = [v for v, b in zip(mine, best) if b == i]
+                if group:
+                    total = Counter()
+                    for v in group:
+                        for k, y in v.items():
+                            total[k] += y
+                    norm = math.sqrt(sum(y * y for y in total.values()))
+                    c[i] = {k: y / norm for k, y in total.items()}
+        centroids += [(lang, v) for v in c]
+    for lang in syllables:
+        for _ in range(5):
+            c = features.letters(make(lang))
+            v = vector(c.tolist())
+            score, want = max((dot(v, m), name) for name, m in centroids)
+            cosine = (features.weighted(c[None], model["idf"]) @ model["centroids"].T)[0]
+            assert model["names"][model["of"][cosine.argmax()]] == want == lang and cosine.max() == pytest.approx(score, abs=1e-4)
+
+
+def test_a_sample_of_many_labels_stays_bounded(spark, monkeypatch):
+    from lakemill.llm import features
+
+    monkeypatch.setattr(features, "SAMPLE", 60)
+    docs = spark.range(3000).selectExpr("id as doc_id", "'t' as text").union(spark.createDataFrame([(5, "t")] * 500, "doc_id long, text string"))
+    rows = docs.selectExpr("doc_id", "cast(doc_id % 20 as string) as label")
+    got = Counter(r.label for r in features.bounded_sample(rows, docs, 400).collect())
+    assert len(got) == 20 and set(got.values()) == {3}
+
+
 def test_labels_of_held_out_rows_change_nothing(spark, docs):
     held = "coalesce(crc32(cast(cast(doc_id as string) as binary)) % 5, 0) = 0"
     other = docs.selectExpr(*(f"case when {held} then 'xx' else lang end as lang" if c == "lang" else c for c in docs.columns))
@@ -310,6 +524,17 @@ def test_packing(docs, rows, empty):
     assert packing.packing(empty, TOKENIZER).count() == 0
 
 
+def test_packing_of_short_documents(spark):
+    """2,000 documents of a few ids each fill their sequences."""
+    docs = spark.range(2000).selectExpr("id as doc_id", "'one two three four five six' as text")
+    got = packing.packing(docs, TOKENIZER).collect()
+    ids = sum(r.length for r in got)
+    sequences = {r.sequence_id for r in got}
+    assert len(got) == 2000 and ids >= 2000 * 7 and len(sequences) == -(-2000 // (2048 // got[0].length))
+    places = sorted((r.sequence_id, r.offset) for r in got)
+    assert len(set(places)) == 2000 and all(o % got[0].length == 0 for _, o in places)
+
+
 def test_near_duplicates(docs, rows, empty):
     got = by_id(minhash.near_duplicates(docs))
     assert sum(map(len, got.values())) == len(rows)
@@ -426,14 +651,91 @@ def test_token_counts(spark, docs, rows, empty, tmp_path):
             want = (len((text or "").encode()), len(library_ids(text)), len(library_ids(text)) > 2048)
             assert want in {(r.n_bytes, r.n_tokens, r.over_limit) for r in got[i]}, i
         stored = spark.read.parquet(cache)
-        # Every distinct normalised text is stored; the second run finds all of them.
-        assert stored.select("digest").distinct().count() == len({re.sub(r"[ \t-\r]+", " ", t or "") for _, t in rows})
+        # Every distinct normalised text is stored once; the second run finds all of them.
+        assert stored.count() == stored.select("digest").distinct().count() == len({re.sub(r"[ \t-\r]+", " ", t or "") for _, t in rows})
     n = stored.count()
     token_counts.token_counts(docs, TOKENIZER, cache).count()
     assert spark.read.parquet(cache).count() == n
     assert token_counts.token_counts(empty, TOKENIZER, f"file://{tmp_path}/none").count() == 0
 
 
+def test_each_digest_is_encoded_once(spark, tmp_path, monkeypatch):
+    """300 rows with one id and text, 200 without an id, 100 copies under ids of their own, in many partitions."""
+    from lakemill.llm import tokens
+
+    data = [(7, "some words here")] * 300 + [(None, "other words")] * 200 + [(i, "a  b\tc") for i in range(100)] + [(200 + i, "a b c") for i in range(100)]
+    docs = spark.createDataFrame(data, "doc_id long, text string").repartition(13)
+    cache, log = f"file://{tmp_path}/cache", f"{tmp_path}/encoded"
+
+    class Counted(tokens.Encoder):
+        def slices(self, column):
+            with open(log, "a") as f:
+                f.writelines("x" for _ in range(len(column)))
+            return super().slices(column)
+
+    monkeypatch.setattr(token_counts, "encoder", Counted)
+    assert token_counts.token_counts(docs, TOKENIZER, cache).count() == 700
+    assert spark.read.parquet(cache).count() == 3 and len(open(log).read()) == 3
+    more = docs.union(spark.createDataFrame([(1, "new")], docs.schema))
+    got = token_counts.token_counts(more, TOKENIZER, cache).collect()
+    assert spark.read.parquet(cache).count() == 4 and len(open(log).read()) == 4  # the others were found
+    assert all(r.n_tokens == len(library_ids({7: "some words here", None: "other words"}.get(r.doc_id, "a b c"))) for r in got if r.doc_id != 1)
+
+
+def test_votes_of_labels_count_once(spark, docs, labels):
+    """Repeated label rows and copies of labelled texts prove nothing new; contradicting labels prove nothing at all."""
+    plain = {(r.doc_id, r.n_words): r.broken_rule for r in quality_rules.quality_rules(docs, labels).collect()}
+    often = labels
+    for _ in range(5):
+        often = often.union(often)
+    assert {(r.doc_id, r.n_words): r.broken_rule for r in quality_rules.quality_rules(docs, often).collect()} == plain
+    features, truth = shares(spark, 60, 1)  # too few to prove anything
+    features = features.withColumn("__rule_text", F.col("doc_id"))
+    copies = features.crossJoin(spark.range(40).withColumnRenamed("id", "copy")).withColumn("doc_id", F.col("doc_id") * 100 + F.col("copy")).drop("copy")
+    named = truth.crossJoin(spark.range(40).withColumnRenamed("id", "copy")).select((F.col("doc_id") * 100 + F.col("copy")).alias("doc_id"), "quality")
+    assert quality_rules.cutoffs(features, truth).count() == quality_rules.cutoffs(copies, named).count() == 0
+    both = truth.withColumn("quality", F.lit(0)).union(truth.withColumn("quality", F.lit(1)))
+    assert quality_rules.cutoffs(features, both).count() == 0
+
+
+def test_op1_against_its_sql(spark, tmp_path):
+    """Several strata and rules, copies, contradicting labels, null strata: the operator and its SQL agree."""
+    import random
+
+    import duckdb
+
+    from lakemill.llm import oracle
+
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(2, 7)))
+    data, truth = [], []
+    for i in range(2400):
+        lang, bad = r.choice(["en", "de", None]), r.random() < 0.3
+        words = [word() for _ in range(r.randint(40, 90))]
+        junk = r.choice(["***", "SHOUT", "wow!", "x"]) if bad else ""
+        if bad:
+            words = [w + junk if r.random() < 0.6 else w for w in words]
+            words = [w.upper() for w in words] if junk == "SHOUT" else words
+            words = words[:25] * 2 + words[25:] if junk == "x" else words
+        text = " ".join(words)
+        if data and r.random() < 0.1:
+            lang, text = r.choice(data)[1:3]
+        data.append((i, lang, text))
+        if r.random() < 0.9:
+            truth += [(i, int(not bad))] * r.choice([1, 1, 3])
+        if r.random() < 0.02:
+            truth.append((i, int(bad)))
+    spark.createDataFrame(data, "doc_id long, lang string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(truth, "doc_id long, quality long").write.parquet(str(tmp_path / "labels.parquet"))
+    c = duckdb.connect()
+    for t in ("documents", "labels"):
+        c.sql(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    want = {x[0]: x[1:] for x in c.sql(f"select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, broken_rule from ({oracle.op1()})").fetchall()}
+    table = lambda n: spark.read.parquet(str(tmp_path / f"{n}.parquet"))
+    got = {x[0]: tuple(x[1:]) for x in quality_rules.quality_rules(table("documents"), table("labels")).collect()}
+    assert got == want and len(set(x[-1] for x in got.values())) >= 4
+
+
 def test_native_operators_run_no_python(spark, docs, labels):
     for df in (quality_rules.quality_rules(docs, labels), fingerprints.fingerprints(docs.limit(20)), mixing.mixing(docs)):
         text = df._jdf.queryExecution().toString()
