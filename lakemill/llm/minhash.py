@@ -198,6 +198,7 @@ def last_rounds(entries: DataFrame, sets: DataFrame, links: DataFrame, percent:
 
     # The set of a bucket with the fewest lone shingles is nearest to what the bucket's sets have in common.
     middle = entries.groupBy("bucket").agg(F.max_by(F.struct("node", "n", "c", "common", "bits"), F.struct(F.col("common") / F.col("n"), -F.col("node"))).alias("m")).select("bucket", "m.*")
+    middle = written(middle, "middles")  # so that the join has plain exchanges below it, and a hot bucket's partition can be split
     pairs = ordered(entries.alias("x").join(middle.alias("y"), possible("x", "y")))
     links = written(links.unionByName(verified(pairs, sets, percent)), "linked")
     found = written(components(links), "components")
@@ -205,7 +206,7 @@ def last_rounds(entries: DataFrame, sets: DataFrame, links: DataFrame, percent:
     # What is left of a bucket beside its largest component is compared with all of the bucket.
     entries = written(still_open(entries, found), "open_buckets")
     largest = entries.groupBy("bucket", "c").agg(F.count(F.lit(1)).alias("k")).groupBy("bucket").agg(F.max_by("c", F.struct("k", "c")).alias("most"))
-    rest = entries.join(largest, "bucket").where("c <> most").drop("most")
+    rest = written(entries.join(written(largest, "largest"), "bucket").where("c <> most").drop("most"), "rest_of_buckets")
     pairs = ordered(rest.alias("x").join(entries.alias("y"), possible("x", "y")))
     links = written(links.unionByName(verified(pairs, sets, percent)), "linked")
     found = written(components(links), "components")
