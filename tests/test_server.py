@@ -158,6 +158,69 @@ def test_a_result_of_many_rows_comes_in_parts(address, spark):
     assert len(parts) == 1 + -(-2500 // BATCH) + 2 and parts[0][:1] == b"T" and all(p[:1] == b"D" for p in parts[1:-2]) and parts[-2][5:-1] == b"SELECT 2500"
 
 
+class Replies:
+    """Stands for a session: its parts, and how many of them were asked for."""
+
+    def __init__(self, *parts):
+        self.parts, self.asked = parts, 0
+
+    def handle(self, kind, body):
+        for x in self.parts:
+            self.asked += 1
+            yield x
+
+
+def data_row(*values):
+    from lakemill.server import message
+
+    return message(b"D", struct.pack("!h", len(values)) + b"".join(struct.pack("!i", -1 if v is None else len(v.encode())) + (v or "").encode() for v in values))
+
+
+def test_messages_are_taken_from_a_reply_as_it_comes():
+    from lakemill.operators.cases import columns_of, sent
+
+    replies = Replies(data_row("1") + data_row(None), b"", data_row("") + data_row("é"))
+    found = sent(replies, b"Q")
+    assert columns_of(next(found)[1]) == ["1"] and replies.asked == 1
+    assert [(k, columns_of(b)) for k, b in found] == [("D", [None]), ("D", [""]), ("D", ["é"])]
+
+
+def test_reading_a_reply_takes_time_in_proportion_to_its_rows():
+    from time import process_time
+
+    from lakemill.operators.cases import sent
+
+    began = process_time()
+    assert sum(1 for _ in sent(Replies(data_row("x" * 90) * 100_000), b"Q")) == 100_000
+    assert process_time() - began < 5
+
+
+@pytest.mark.parametrize("n", [0, 1, 6, 7])
+def test_a_reply_is_gathered_in_portions(spark, monkeypatch, n):
+    from lakemill.operators import cases
+    from lakemill.server import cstring, message
+
+    monkeypatch.setattr(cases, "HELD", 3)
+    rows = [(str(i), (None, "", "a\n\"é")[i % 3]) for i in range(n)]
+    replies = Replies(message(b"T"), *(data_row(*r) for r in rows), message(b"C", cstring(f"SELECT {n}")), message(b"Z", b"I"))
+    got = cases.gathered(spark, cases.sent(replies, b"Q"), ("a", "b"))
+    assert got.dtypes == [("a", "string"), ("b", "string")] and sorted(map(tuple, got.collect())) == rows
+
+
+def test_a_reply_that_breaks_off_is_an_error(spark):
+    from lakemill.engine import Engine
+    from lakemill.errors import SqlError
+    from lakemill.operators import cases
+    from lakemill.server import Session, cstring, message
+
+    with pytest.raises(SqlError, match="division by zero"):
+        cases.gathered(spark, cases.sent(Session(Engine(spark)), b"Q", b"select 1 / 0\0"), ("a",))
+    with pytest.raises(SqlError, match="after 1 rows"):
+        cases.gathered(spark, cases.sent(Replies(data_row("1"), message(b"C", cstring("SELECT 2"))), b"Q"), ("a",))
+    with pytest.raises(SqlError, match="after 1 rows"):
+        cases.gathered(spark, cases.sent(Replies(data_row("1")), b"Q"), ("a",))
+
+
 def test_concurrent_clients(address):
     found, many = [], [threading.Thread(target=lambda i=i: found.append(rows(Client(address).query(f"select count(*) from emp where id > {i}")))) for i in range(6)]
     for t in many:
