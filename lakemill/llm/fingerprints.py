@@ -11,7 +11,8 @@ cells. What is recovered are the differing paragraphs' digests. The fingerprints
 be peeled empty, that of the rung which the numbers of elements call for; then, as long as it fails, that of twice the width.
 
 Each lane holds an element once, so peeling lane by lane never takes one out twice, and a round is a single aggregation of
-the cells and what is taken out of them. All rounds of a pair run where its cells lie: rows are dealt once.
+the cells and what is taken out of them. All rounds of a pair run where its cells lie: rows are dealt once. Pairs that are
+tried again are written apart, so a try reads no others, and one of few elements is a single task's work.
 
 Edge cases: null text is empty; two empty versions are alike (1.0) and have empty fingerprints; the document after the last
 is the first, so a single row follows itself; rows with one doc_id are ordered by the digest of their text, which also
@@ -20,7 +21,10 @@ parts a hot id; null ids come first.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -35,8 +39,10 @@ SPACE = 1.5
 ROUNDS = 12
 #: A row's number, from its bucket and its place there.
 ROW = "cast(bucket as bigint) * 4294967296 + place"
-#: Elements of the texts themselves in a partition of cells, about.
+#: Elements of the texts themselves in a partition of cells, about, and of both sides in a further try that is one task.
 PART = 50_000
+#: Whether partial aggregates keep a second, generated map.
+FAST_MAPS = "spark.sql.codegen.aggregate.map.twolevel.enabled"
 ATTEMPTS = 40
 #: Rows per bucket of neighbouring ids, and buckets.
 BUCKET, BUCKETS = 2000, 1 << 16
@@ -191,6 +197,18 @@ def peeled(pairs: DataFrame, first: bool) -> DataFrame:
     return done.select("row", "kind", good.alias("good"), *(pick(n) for n in names), *prints)
 
 
+@contextmanager
+def one_map_each(spark: SparkSession) -> Iterator[None]:
+    """A chain of aggregations in one stage makes the generated maps of all its rounds before the first row, each with a page
+    of memory (16 to 64 MB); the plain maps get theirs with their first row and give it back as soon as they are read."""
+    before = spark.conf.get(FAST_MAPS)
+    spark.conf.set(FAST_MAPS, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(FAST_MAPS, before)
+
+
 def rung(expected: Column) -> Column:
     """Width of the least rung with room for so many differences."""
     cells = F.greatest(expected * SPACE / LANES / CELLS + 1, F.lit(1.0))
@@ -206,9 +224,11 @@ def compared(rows: DataFrame, kinds: tuple[tuple[str, float], ...] = KINDS) -> t
     each = F.array(*(F.struct(F.lit(i).alias("kind"), F.lit(share).alias("share"), F.col(n).alias("other")) for i, (n, share) in enumerate(kinds)))
     pairs = rows.select("row", "own", F.explode(each).alias("p")).select("row", "own", "p.*")
     pairs = pairs.withColumn("width", rung(F.col("share") * (F.size("own") + F.size("other")))).drop("share")
+    again, pairs = pairs, pairs.repartition(parts, "row")
     for attempt in range(ATTEMPTS):
         # Rows are dealt as arrays; no round deals their cells again.
-        tried = written(peeled(pairs.repartition(parts, "row"), attempt == 0), "peeled")
+        with one_map_each(rows.sparkSession):
+            tried = written(peeled(pairs, attempt == 0), "peeled")
         prints = tried.where("kind = 0").select("row", "own_print", "other_print") if prints is None else prints
         good = tried.where("good").select("row", "kind", "only_own", "only_other", "own_digests", "other_digests")
         done = good if done is None else done.unionByName(good)
@@ -216,8 +236,11 @@ def compared(rows: DataFrame, kinds: tuple[tuple[str, float], ...] = KINDS) -> t
         n = failed.count()
         if not n:
             return done, prints
-        pairs = pairs.join(small(failed), ["row", "kind"], "left_semi").withColumn("width", F.col("width") * 2)
+        again = again.join(small(failed), ["row", "kind"], "left_semi").withColumn("width", F.col("width") * 2)
+        again = written(again, "again")
         parts = max(1, min(parts, n // 100))
+        few = again.agg(F.sum(F.size("own") + F.size("other"))).first()[0] <= PART
+        pairs = again.coalesce(1) if few else again.repartition(parts, "row")
     raise RuntimeError("a sketch could not be peeled")
 
 

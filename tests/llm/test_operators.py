@@ -324,6 +324,61 @@ def test_a_sketch_that_cannot_be_peeled_is_tried_larger(spark, monkeypatch, spac
     assert {r["row"]: (r.own_print, r.other_print) for r in prints.collect()} == {i: (printed_sketch(a), printed_sketch(b)) for i, (a, b) in enumerate(cases) if a or b}
 
 
+def some_pairs(spark, n):
+    """Pairs of 40 elements each, of which 15 differ."""
+    side = lambda i, k: [(1000 * i + j + (10**6 if j < k else 0), 1) for j in range(40)]
+    rows = [(i, side(i, 0), side(i, 15), side(i, 15)) for i in range(n)]
+    return spark.createDataFrame(rows, "row long, own array<struct<d: long, t: long>>, edited array<struct<d: long, t: long>>, next array<struct<d: long, t: long>>")
+
+
+def test_a_further_try_reads_only_the_pairs_that_failed(spark, monkeypatch):
+    """What is tried again has been written apart; a few elements are one task's, and dealt by no exchange."""
+    monkeypatch.setattr(fingerprints, "SPACE", 0.02)
+    tries, peel = [], fingerprints.peeled
+
+    def seen(pairs, first):
+        plan = pairs._jdf.queryExecution().executedPlan().toString()
+        tries.append((pairs.count(), {p.split("/")[-2].split("-")[0] for p in pairs.inputFiles()}, pairs.rdd.getNumPartitions(), "Exchange" in plan))
+        return peel(pairs, first)
+
+    monkeypatch.setattr(fingerprints, "peeled", seen)
+    done, _ = fingerprints.compared(written(some_pairs(spark, 30), "test_pairs"))
+    assert sorted((r["row"], r["kind"], r["only_own"], r["only_other"]) for r in done.collect()) == [(i, k, 15, 15) for i in range(30) for k in (0, 1)]
+    assert tries[0][0] == 60 and len(tries) > 1 and all(a[0] >= b[0] for a, b in zip(tries, tries[1:]))
+    assert all(t[1:] == ({"again"}, 1, False) for t in tries[1:])
+    monkeypatch.setattr(fingerprints, "PART", 10)  # too many for one task: dealt as before, with the same result
+    tries.clear()
+    again, _ = fingerprints.compared(written(some_pairs(spark, 30), "test_pairs"))
+    assert sorted(map(str, again.collect())) == sorted(map(str, done.collect())) and all(t[3] for t in tries)
+
+
+def test_a_peel_holds_few_pages_at_a_time(spark):
+    """The maps of all rounds are not there at once; the caller's setting is as it was."""
+    import threading
+    import time
+
+    setting, manager = "spark.sql.codegen.aggregate.map.twolevel.enabled", spark._jvm.org.apache.spark.SparkEnv.get().memoryManager()
+    rows, over, most = written(some_pairs(spark, 2000).coalesce(1), "test_pairs"), threading.Event(), [0]
+
+    def watch():
+        while not over.is_set():
+            most[0] = max(most[0], manager.executionMemoryUsed())
+            time.sleep(0.002)
+
+    before, shuffled = spark.conf.get(setting), spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    watcher = threading.Thread(target=watch)
+    watcher.start()
+    try:
+        fingerprints.compared(rows)
+    finally:
+        over.set()
+        watcher.join()
+        spark.conf.set("spark.sql.shuffle.partitions", shuffled)
+    assert spark.conf.get(setting) == before
+    assert 0 < most[0] < 8 * manager.pageSizeBytes(), most[0] / manager.pageSizeBytes()
+
+
 def test_a_single_document_follows_itself(docs):
     r = fingerprints.fingerprints(docs.where("doc_id = 9011")).first()
     assert r.near_next == 1.0
