@@ -20,11 +20,11 @@ from collections.abc import Iterator
 from itertools import islice
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import rows_of, whole_text, with_row, written
-from .graph import components
+from .graph import components, roots
 from .words import mix, slices, words
 
 WORDS = 5
@@ -156,61 +156,69 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs (a, b) whose whole sets are alike enough; a pair may come twice. Nothing above the joins needs a key's rows
-    together, so the partition of a set that many others are compared with can be split."""
+    """The pairs (a, b), with their columns, whose whole sets are alike enough; a pair may come twice. Nothing above the joins
+    needs a key's rows together, so the partition of a set that many others are compared with can be split."""
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
     alike = 100 * both >= percent * (F.size("sa") + F.size("sb") - both)
-    return pairs.join(left, "a").join(right, "b").where(alike).select("a", "b")
+    return pairs.join(left, "a").join(right, "b").where(alike).select(*pairs.columns)
 
 
-def own(name: str) -> Column:
-    """Component of a node, itself if it has no link."""
-    return F.coalesce(name + "_component", name)
+def bits_allow(x: str, y: str, percent: int) -> Column:
+    """What two sets of ``n`` shingles can share at most by their bitmaps is enough for a link; true where a bitmap is missing.
+
+    A shared bit is counted once for both sides, and the sum stands here once: a join whose generated method has more than
+    8000 bytes is never compiled and takes some fifty times as long a pair."""
+    shared = sum((F.bit_count(F.get(f"{x}.bits", F.lit(i)).bitwiseAND(F.get(f"{y}.bits", F.lit(i)))) for i in range(BITS // 64)), F.lit(0))
+    most = shared + F.least(F.col(f"{x}.n") - F.col(f"{x}.ones"), F.col(f"{y}.n") - F.col(f"{y}.ones"))
+    return F.coalesce((100 + percent) * most >= percent * (F.col(f"{x}.n") + F.col(f"{y}.n")), F.lit(True))
+
+
+def merged(found: DataFrame, links: DataFrame) -> DataFrame:
+    """The components after further links (a, b) between them: only the links are searched, and their components looked up."""
+    top = components(links).select(F.col("node").alias("component"), F.col("component").alias("to"))
+    return written(found.join(top, "component", "left").select("node", F.coalesce("to", "component").alias("component")), "components")
 
 
 def still_open(entries: DataFrame, found: DataFrame) -> DataFrame:
     """The entries, with their component c, of buckets that hold more than one."""
-    placed = entries.drop("c").join(found.select("node", F.col("component").alias("node_component")), "node", "left").withColumn("c", own("node")).drop("node_component")
+    placed = entries.drop("c").join(found.select("node", F.col("component").alias("c")), "node")
     mixed = placed.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("bucket")
     return placed.join(mixed, "bucket", "left_semi")
 
 
-def last_rounds(entries: DataFrame, sets: DataFrame, links: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """All links and components, with the pairs of open buckets that may still be links."""
+def last_rounds(entries: DataFrame, sets: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """The components with the pairs of open buckets that may still be links."""
     # Shingles that no other open set has bound what a set can share; many sets can then have no partner at all.
     body = sets.join(entries.select("node").distinct(), "node", "left_semi").select("node", F.explode("shingles").alias("shingle"))
     lone = body.groupBy("shingle").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("k")).where("k = 1").groupBy("node").agg(F.count(F.lit(1)).alias("lone"))
     entries = entries.join(lone, "node", "left").withColumn("common", F.col("n") - F.coalesce("lone", F.lit(0))).drop("lone")
     # An id with several texts has several sets, for which no bound is kept.
     own_bits = sets.groupBy("node").agg(F.count(F.lit(1)).alias("k"), F.first("bits").alias("bits"))
+    own_bits = own_bits.withColumn("ones", sum((F.bit_count(F.get("bits", F.lit(i))) for i in range(BITS // 64)), F.lit(0)))
     entries = entries.join(own_bits, "node").withColumn("bits", F.when(F.col("k") == 1, F.col("bits"))).withColumn("common", F.when(F.col("k") == 1, F.col("common")).otherwise(F.col("n"))).drop("k")
     entries = written(entries.where(100 * F.col("common") >= percent * F.col("n")), "open_buckets")
 
-    def possible(x: str, y: str) -> Column:
-        alone = lambda a, b: sum((F.bit_count(F.get(f"{a}.bits", F.lit(i)).bitwiseAND(F.bitwise_not(F.get(f"{b}.bits", F.lit(i))))) for i in range(BITS // 64)), F.lit(0))
-        most = F.least(f"{x}.common", f"{y}.common", F.col(f"{x}.n") - alone(x, y), F.col(f"{y}.n") - alone(y, x))
-        return (F.col(f"{x}.bucket") == F.col(f"{y}.bucket")) & (F.col(f"{x}.c") != F.col(f"{y}.c")) & (100 * most >= percent * (F.col(f"{x}.n") + F.col(f"{y}.n") - most))
+    def possible() -> Column:
+        enough = (100 + percent) * F.least("x.common", "y.common") >= percent * (F.col("x.n") + F.col("y.n"))
+        return (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.c") != F.col("y.c")) & enough & bits_allow("x", "y", percent)
 
-    def ordered(pairs: DataFrame) -> DataFrame:
-        return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+    def joined(pairs: DataFrame) -> DataFrame:
+        """Links between components; the pairs x, y are checked once each."""
+        pairs = pairs.select(*(f(f"x.{c}", f"y.{c}").alias(f"{c}{i}") for c in ("node", "c") for i, f in enumerate((F.least, F.greatest)))).distinct()
+        return verified(pairs.withColumnsRenamed({"node0": "a", "node1": "b"}), sets, percent).select(F.col("c0").alias("a"), F.col("c1").alias("b"))
 
     # The set of a bucket with the fewest lone shingles is nearest to what the bucket's sets have in common.
-    middle = entries.groupBy("bucket").agg(F.max_by(F.struct("node", "n", "c", "common", "bits"), F.struct(F.col("common") / F.col("n"), -F.col("node"))).alias("m")).select("bucket", "m.*")
+    middle = entries.groupBy("bucket").agg(F.max_by(F.struct("node", "n", "c", "common", "bits", "ones"), F.struct(F.col("common") / F.col("n"), -F.col("node"))).alias("m")).select("bucket", "m.*")
     middle = written(middle, "middles")  # so that the join has plain exchanges below it, and a hot bucket's partition can be split
-    pairs = ordered(entries.alias("x").join(middle.alias("y"), possible("x", "y")))
-    links = written(links.unionByName(verified(pairs, sets, percent)), "linked")
-    found = written(components(links), "components")
+    found = merged(found, joined(entries.alias("x").join(middle.alias("y"), possible())))
 
     # What is left of a bucket beside its largest component is compared with all of the bucket.
     entries = written(still_open(entries, found), "open_buckets")
     largest = entries.groupBy("bucket", "c").agg(F.count(F.lit(1)).alias("k")).groupBy("bucket").agg(F.max_by("c", F.struct("k", "c")).alias("most"))
     rest = written(entries.join(written(largest, "largest"), "bucket").where("c <> most").drop("most"), "rest_of_buckets")
-    pairs = ordered(rest.alias("x").join(entries.alias("y"), possible("x", "y")))
-    links = written(links.unionByName(verified(pairs, sets, percent)), "linked")
-    found = written(components(links), "components")
-    return links, found
+    return merged(found, joined(rest.alias("x").join(entries.alias("y"), possible())))
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -232,31 +240,31 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     sets = shingle_sets(texts).groupBy("set_key").agg(F.first("shingles").alias("shingles"), F.first("bits").alias("bits"))
     sets = written(sets.join(wanted.select("set_key", "node"), "set_key").select("node", "shingles", "bits"), "shingle_sets")
 
-    spokes = written(shared.where("node <> center").groupBy("node", "center").agg(F.count(F.lit(1)).alias("bands")), "spokes")
-    best = spokes.groupBy("node").agg(F.max_by("center", F.struct("bands", -F.col("center"))).alias("center"))
-    pairs = best.select(F.col("center").alias("a"), F.col("node").alias("b"))
-    links = written(verified(pairs, sets, percent), "linked")
-    found = written(components(links), "components")
+    # A node has a spoke for each other node that is the least of one of its buckets; the first spoke is met most often.
+    spokes = shared.where("node <> center").repartition("node").groupBy("node", "center").agg(F.count(F.lit(1)).alias("bands"))
+    spokes = written(spokes.withColumn("place", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("bands"), "center"))).drop("bands"), "spokes")
+    pairs = spokes.where("place = 1").select(F.col("center").alias("a"), F.col("node").alias("b"))
+    tops = roots(written(verified(pairs, sets, percent).select(F.col("b").alias("node"), F.col("a").alias("parent")).distinct(), "parents"))
+    found = written(sets.select("node").distinct().join(tops, "node", "left").select("node", F.coalesce("parent", "node").alias("component")), "components")
 
     of = lambda name: found.select(F.col("node").alias(name), F.col("component").alias(name + "_component"))
-    rest = spokes.join(of("node"), "node", "left").join(of("center"), "center", "left").where(own("node") != own("center"))
-    rest = rest.select(F.col("center").alias("a"), F.col("node").alias("b")).join(pairs, ["a", "b"], "left_anti")
-    links = written(links.unionByName(verified(rest, sets, percent)), "linked")
-    found = written(components(links), "components")
+    rest = spokes.where("place > 1").join(of("node"), "node").join(of("center"), "center").where("node_component <> center_component")
+    rest = verified(rest.withColumnsRenamed({"center": "a", "node": "b"}), sets, percent)
+    found = merged(found, rest.select(F.col("center_component").alias("a"), F.col("node_component").alias("b")))
 
     entries = written(still_open(shared.select("bucket", "node", "n"), found), "open_buckets")
     if entries.limit(1).count():
-        links, found = last_rounds(entries, sets, links, percent)
+        found = last_rounds(entries, sets, found, percent)
+    mine = nodes.select("set_key", "node").join(found, "node", "left").select("set_key", F.coalesce("component", "node").alias("component"))
 
     # An id with several texts links their classes.
     several = sig.where("doc_id is not null and n_shingles > 0").groupBy("doc_id").agg(F.min("set_key").alias("lo"), F.max("set_key").alias("hi")).where("lo < hi").select("doc_id")
     if several.limit(1).count():
-        own_nodes = sig.join(several, "doc_id", "left_semi").select("doc_id", "set_key").join(nodes, "set_key").select("doc_id", "node").distinct()
-        least = own_nodes.groupBy("doc_id").agg(F.min("node").alias("a"))
-        same = own_nodes.join(least, "doc_id").where("a < node").select("a", F.col("node").alias("b"))
-        found = written(components(written(links.unionByName(same).distinct(), "linked")), "components")
+        mine = written(mine, "places")
+        own = sig.join(several, "doc_id", "left_semi").select("doc_id", "set_key").join(mine, "set_key").select("doc_id", "component").distinct()
+        least = own.groupBy("doc_id").agg(F.min("component").alias("a"))
+        mine = merged(mine.withColumnRenamed("set_key", "node"), own.join(least, "doc_id").select("a", F.col("component").alias("b"))).withColumnRenamed("node", "set_key")
 
-    mine = nodes.select("set_key", "node").join(found, "node", "left").select("set_key", F.coalesce("component", "node").alias("component"))
     out = sig.select("doc_id", "n_shingles", "set_key").join(mine, "set_key", "left")
     component = F.when(F.col("component") >= NO_ID, F.lit(None)).otherwise(F.coalesce("component", "doc_id")).cast("long")
     out = out.select("doc_id", "n_shingles", component.alias("component_id"))

@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from lakemill.llm import fingerprints, language_id, minhash, mixing, packing, quality_classifier, quality_rules, suffix_dedup, token_counts, url_filter
+from lakemill.llm import fingerprints, graph, language_id, minhash, mixing, packing, quality_classifier, quality_rules, suffix_dedup, token_counts, url_filter
 
 from lakemill.llm.common import written
 
@@ -661,6 +661,74 @@ def test_near_copies_in_a_large_group(spark):
     assert [got[i][0].component_id for i in range(150)] == [root(i) for i in range(150)]
 
 
+def test_large_groups_meet_compiled_methods(spark, monkeypatch):
+    """A generated method of over 8000 bytes is never compiled: the pairs of a hot bucket then took some fifty times as long."""
+    import random
+
+    sizes, real = [], graph.written
+
+    def written_and_sized(df, name):
+        found = df._jdf.queryExecution().debug().codegenToSeq()
+        sizes.extend(found.apply(i)._3().maxMethodCodeSize() for i in range(found.size()))
+        return real(df, name)
+
+    r = random.Random(9)
+    base = [f"w{i}" for i in range(120)]
+    swapped = lambda i: {r.randrange(120): f"own{i}_{k}" for k in range(r.choice([0, 1, 2, 3, 9]))}
+    data = [(i, " ".join(new.get(k, w) for k, w in enumerate(base))) for i in range(60) for new in [swapped(i)]]
+    for module in (graph, minhash):
+        monkeypatch.setattr(module, "written", written_and_sized)
+    plain = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in plain}
+    try:
+        for k, v in plain.items():
+            spark.conf.set(k, v)
+        assert minhash.near_duplicates(spark.createDataFrame(data, "doc_id long, text string")).count() == 60
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(sizes) > 50 and max(sizes) < 8000
+
+
+def test_bitmaps_never_rule_out_a_link(spark):
+    """The bound by bitmaps is that of shared bits and of shingles that fall together, and is none without a bitmap."""
+    r = np.random.default_rng(5)
+    pairs = []
+    for both in [*range(0, 200, 7), 160, 165, 170, 171, 172]:
+        found = r.integers(0, 1 << 62, 400 - both, dtype=np.uint64)
+        pairs.append((found[:200], found[200 - both :]))
+    side = lambda s: (len(s), int(np.unique(s & np.uint64(1023)).size), minhash.bitmap(s).tolist())
+    rows = [(k, side(x), side(y)) for k, (x, y) in enumerate(pairs)] + [(-1, (9, None, None), side(pairs[0][0]))]
+    kind = "struct<n:long,ones:int,bits:array<long>>"
+    got = {x.k: x.ok for x in spark.createDataFrame(rows, f"k long, x {kind}, y {kind}").select("k", minhash.bits_allow("x", "y", 75).alias("ok")).collect()}
+    assert got.pop(-1)
+    for k, (x, y) in enumerate(pairs):
+        a, b = (np.bitwise_or.reduce(np.eye(1024, dtype=bool)[s & np.uint64(1023)]) for s in (x, y))
+        most = min(len(x) - (a & ~b).sum(), len(y) - (b & ~a).sum())
+        both = len(np.intersect1d(x, y))
+        assert got[k] == (100 * most >= 75 * (len(x) + len(y) - most)), k
+        assert got[k] or 100 * both < 75 * (len(x) + len(y) - both), k
+    assert {True, False} == set(got.values())
+
+
+def test_components(spark, monkeypatch):
+    """Stars need no round beyond the first table; paths and forests end at their least node."""
+    tables, real = [], graph.written
+    monkeypatch.setattr(graph, "written", lambda df, name: tables.append(name) or real(df, name))
+    links = lambda pairs: spark.createDataFrame(pairs, "a long, b long")
+    stars = [(1, k) for k in range(10, 60)] + [(3, 2), (2, 4), (4, 2), (70, 70)]
+    assert {r.node: r.component for r in graph.components(links(stars)).collect()} == {**dict.fromkeys([1, *range(10, 60)], 1), 2: 2, 3: 2, 4: 2}
+    assert tables == ["links"]
+    assert graph.components(links([])).count() == 0 and tables == ["links"] * 2
+    path = [(k, k + 1) for k in range(40)] + [(50, 60), (55, 60), (55, 65)]
+    expected = {**dict.fromkeys(range(41), 0), **dict.fromkeys([50, 55, 60, 65], 50)}
+    assert {r.node: r.component for r in graph.components(links(path)).collect()} == expected
+    forest = real(spark.createDataFrame([(k, k - 1) for k in range(1, 41)] + [(60, 50), (55, 50), (65, 55)], "node long, parent long"), "parents")
+    tables.clear()
+    assert {r.node: r.parent for r in graph.roots(forest).collect()} == {n: c for n, c in expected.items() if n != c}
+    assert len(tables) == 6
+
+
 def test_mixing(spark, docs, rows, empty):
     got = mixing.mixing(docs).collect()
     counts = Counter((r["source"]) for r in docs.select("source").collect())
